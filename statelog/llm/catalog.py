@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontam import contaminated
+from .html import main_texts
 from .langid import language
 from .minhash import near_duplicates
 from .mixing import mixed_words
@@ -55,6 +56,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
     "op7_mixing_sources": op7_mixing_sources,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_approximate_nearest": op10_approximate_nearest,
 }
