@@ -101,20 +101,20 @@ def _signed(words: int, permutations: int):
                         pa.array(names, pa.binary()),
                         pa.array([None if d is None else next(sigs).tobytes() for d in names], pa.binary()),
                     ],
-                    ["doc_id", "tkey", "n_shingles", "node", "sig"],
+                    ["doc_id", "tkey", "n_shingles", "digest", "sig"],
                 )
 
     return run
 
 
 def _with_nodes(words: int):
-    """(node, text) of texts whose own set is the wanted node."""
+    """(node, text) of texts whose own set is the wanted node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 names = set_digests(*shingle_sets(part.column("text"), words))
-                keep = pa.array([a == b for a, b in zip(names, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                keep = pa.array([a == b for a, b in zip(names, part.column("digest").to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text")], ["node", "text"]).filter(keep)
 
     return run
@@ -124,7 +124,7 @@ def _confirm(words: int, share: tuple[int, int]):
     """Rows sorted by hub with the hub's own text (no member) before its members': the links that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, np.zeros(0, np.uint64)
+        hub, hub_set = -1, np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 grams, at = shingle_sets(part.column("text"), words)
@@ -144,7 +144,7 @@ def _confirm(words: int, share: tuple[int, int]):
                     if share[1] * both >= share[0] * (low + high - both):
                         a.append(h)
                         b.append(m)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["hub", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["hub", "member"])
 
     return run
 
@@ -159,12 +159,12 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, words: int, share: tuple
     sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(sized, "hub").select("hub", "member", salt.alias("salt"))
     hubs = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    hubs = hubs.join(texts, hubs.hub == texts.node).select("hub", F.lit(None).cast("binary").alias("member"), "salt", "text")
+    hubs = hubs.join(texts, hubs.hub == texts.node).select("hub", F.lit(None).cast("long").alias("member"), "salt", "text")
     members = dealt.join(texts, dealt.member == texts.node).select("hub", "member", "salt", "text")
     rows = hubs.unionByName(members)
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return rows.select("hub", "member", "text").mapInArrow(_confirm(words, share), "hub binary, member binary")
+    return rows.select("hub", "member", "text").mapInArrow(_confirm(words, share), "hub long, member long")
 
 
 def components(links: DataFrame, stage: Stage, a: str = "hub", b: str = "member") -> DataFrame:
@@ -191,10 +191,11 @@ def components(links: DataFrame, stage: Stage, a: str = "hub", b: str = "member"
             return labels
 
 
-def _bands(classes: DataFrame, permutations: int) -> DataFrame:
-    n = permutations * 4 // BAND_BYTES
-    cut = [F.struct(F.lit(i).alias("band"), F.substring("sig", i * BAND_BYTES + 1, BAND_BYTES).alias("value")) for i in range(n)]
-    return classes.select(*[c for c in classes.columns if c != "sig"], F.explode(F.array(*cut)).alias("k")).select("*", "k.band", "k.value").drop("k")
+def _buckets(classes: DataFrame, permutations: int) -> DataFrame:
+    """(node, bucket) for each band; buckets whose hashes collide are one, which only adds candidates."""
+    bands = range(permutations * 4 // BAND_BYTES)
+    keys = [F.xxhash64(F.lit(i), F.substring("sig", i * BAND_BYTES + 1, BAND_BYTES)) for i in bands]
+    return classes.select("node", F.explode(F.array(*keys)).alias("bucket"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -239,7 +240,7 @@ def _block_links(keys: list[str], share: tuple[int, int], exact: bool):
             node = table["node"].to_pylist()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(node), -1)
             sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()] if exact else None
-            comp = np.unique(np.array(table["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
+            comp = np.unique(np.array(table["comp"]), return_inverse=True)[1]
             joined = comp.copy() if exact else np.arange(len(node))
             right, a, b = np.flatnonzero(side != 0), [], []
             for i in np.flatnonzero(side != 1).tolist():
@@ -254,9 +255,15 @@ def _block_links(keys: list[str], share: tuple[int, int], exact: bool):
                         if share[1] * common < share[0] * (len(sets[i]) + len(sets[j]) - common):
                             continue
                     joined[joined == joined[j]] = joined[i]
-                    a.append(node[i])
-                    b.append(node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["hub", "member"])
+                    if exact:
+                        a.append(node[i])
+                        b.append(node[j])
+            if not exact:  # each group's least node with the others, which most buckets agree on
+                least: dict[int, int] = {}
+                for x, g in zip(node, joined.tolist(), strict=True):
+                    least[g] = min(x, least.get(g, x))
+                a, b = zip(*((least[g], x) for x, g in zip(node, joined.tolist(), strict=True) if least[g] != x), strict=True) if len(least) < len(node) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["hub", "member"])
 
     return run
 
@@ -272,7 +279,7 @@ def _paired_blocks(rows: DataFrame, keys: list[str], share: tuple[int, int], exa
     keys = [*keys, "b0", "b1"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_block_links(keys, share, exact), "hub binary, member binary")
+    return rows.mapInArrow(_block_links(keys, share, exact), "hub long, member long")
 
 
 def _node_grams(words: int):
@@ -286,26 +293,36 @@ def _node_grams(words: int):
     return run
 
 
-def _cross_links(bands: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage, words: int, share: tuple[int, int]) -> DataFrame | None:
+def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage, words: int, share: tuple[int, int]) -> DataFrame | None:
     """Links between different components that share a bucket; None if no bucket has several."""
     lab = labels.select(F.col("node").alias("ln"), "comp")
-    rows = bands.join(lab, bands.node == lab.ln, "left").withColumn("comp", F.coalesce("comp", "node")).drop("ln")
-    many = rows.groupBy("band", "value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"))
-    many = many.filter("c0 != c1 and members > 2").select("band", "value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    sigs = classes.select(F.col("node").alias("sn"), "sig")
-    mixed = rows.join(many, ["band", "value"])
+    rows = buckets.join(lab, buckets.node == lab.ln, "left").withColumn("comp", F.coalesce("comp", "node")).drop("ln")
+    many = rows.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"))
+    many = many.filter("c0 != c1 and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    sigs = classes.select(F.col("node").alias("sn"), "n", "sig")
+    mixed = rows.join(many, "bucket")
     mixed = mixed.join(sigs, mixed.node == sigs.sn).drop("sn")
-    near = stage.write(_paired_blocks(mixed, ["band", "value"], share, False).distinct(), "near")
+    near = stage.write(_paired_blocks(mixed, ["bucket"], share, False).distinct(), "near")
     if near.limit(1).count() == 0:
         return None
     family = components(near, stage).withColumnRenamed("comp", "family")
     member = family.join(classes.select("node", "n", "sig"), "node").join(lab, F.col("node") == F.col("ln"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("ln")
     sized = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    grams = texts.join(family.select("node"), "node", "left_semi").mapInArrow(_node_grams(words), "node binary, grams binary")
+    grams = texts.join(family.select("node"), "node", "left_semi").mapInArrow(_node_grams(words), "node long, grams binary")
     whole = member.join(sized, "family").join(grams, "node")
     return stage.write(_paired_blocks(whole, ["family"], share, True), "links")
 
 
+def _joined(labels: DataFrame, links: DataFrame, stage: Stage) -> DataFrame:
+    """The labels after further links, by the components of the graph of components."""
+    for end in ("hub", "member"):
+        lab = labels.select(F.col("node").alias("ln"), "comp")
+        links = links.join(lab, links[end] == lab.ln, "left").withColumn(end, F.coalesce("comp", end)).drop("ln", "comp")
+    over = components(links.filter("hub != member"), stage).select(F.col("node").alias("on"), F.col("comp").alias("oc"))
+    known = labels.union(over.select("on", F.col("on"))).distinct()
+    return known.join(over, known.comp == over.on, "left").select("node", F.coalesce("oc", "comp").alias("comp"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -330,34 +347,35 @@ def near_duplicates(
     stage = Stage(spark, "near-duplicates")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
-    kinds = "doc_id long, tkey long, n_shingles long, node binary, sig binary"
+    kinds = "doc_id long, tkey long, n_shingles long, digest binary, sig binary"
     signed = stage.write(rows.mapInArrow(_signed(words, permutations), kinds), "signed")
     classes = (
-        signed.filter("node is not null")
-        .groupBy("node")
+        signed.filter("digest is not null")
+        .groupBy("digest")
         .agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     )
-    classes = stage.write(classes, "classes")
-    bands = _bands(classes.select("node", "n", "sig"), permutations)
+    classes = stage.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # Every class in a bucket with others is there as the bucket's smallest or paired with it.
-    hubs = bands.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("band", "value", "hub")
-    pairs = bands.join(hubs, ["band", "value"]).filter("hub != node").select("hub", F.col("node").alias("member")).distinct()
+    buckets = _buckets(classes, permutations)
+    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("bucket", "hub")
+    pairs = buckets.join(hubs, "bucket").filter("hub != node").select("hub", F.col("node").alias("member")).distinct()
     pairs = stage.write(pairs, "pairs")
     wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select("member")).distinct()
-    wanted = wanted.join(classes, "node").select("node", F.col("rep.doc_id").alias("wid"), F.col("rep.tkey").alias("wkey"))
-    texts = rows.join(wanted, (F.col("tkey") == F.col("wkey")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("node", "text")
-    texts = stage.write(texts.mapInArrow(_with_nodes(words), "node binary, text string"), "texts")
+    near = stage.write(classes.join(wanted, "node"), "near")
+    wanted = near.select("node", "digest", F.col("rep.doc_id").alias("wid"), F.col("rep.tkey").alias("wkey"))
+    texts = rows.join(wanted, (F.col("tkey") == F.col("wkey")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("node", "digest", "text")
+    texts = stage.write(texts.mapInArrow(_with_nodes(words), "node long, text string"), "texts")
 
     links = stage.write(confirmed_links(pairs, texts, words, threshold), "links")
     labels = components(links, stage)
-    more = _cross_links(bands, labels, classes, texts, stage, words, threshold)
+    more = _cross_links(_buckets(near, permutations), labels, near, texts, stage, words, threshold)
     if more is not None:
-        labels = components(links.unionByName(more), stage)
+        labels = _joined(labels, more, stage)
 
-    named = classes.select("node", "min_id").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "min_id")
+    named = classes.select("node", "digest", "min_id").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "min_id")
     least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    by_node = named.join(least, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    by_set = named.join(least, "comp").select("digest", "component_id")
+    out = signed.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
