@@ -133,7 +133,7 @@ def prototypes(docs: DataFrame, allowed, dim: int = DIMENSIONS, sample: int = SA
     sums = sums.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     got = sorted(sums.collect(), key=lambda r: r.lang)
     langs = [r.lang for r in got]
-    p = np.array([[x.x for x in r.v] for r in got], np.float64).reshape(len(langs), -1)
+    p = np.array([[x.x for x in r.v] for r in got], np.float64).reshape(len(langs), dim)
     return langs, (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
