@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 import pytest
-from conftest import oracle_rows, rows_of
+from helpers import oracle_rows, rows_of
 
 from statelog.plans import catalog
 
