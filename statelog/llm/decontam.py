@@ -6,7 +6,8 @@ consecutive grams of its item, so that a stretch of WINDOW + n - 1 words copied
 as they are always holds a seed, however many documents share it. Around the
 seeds of an item a document's words are aligned with the item's by the
 Smith-Waterman recurrence over word hashes, which scores edited copies; the
-score is the share of what the whole item would get.
+score is the share of what the whole item would get. Words are compared in lower
+case and without ASCII punctuation, which edited copies often change.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stage
-from .textops import Words, hash_ngrams, hash_words, slices, text_bytes
+from .textops import PUNCTUATION, Words, hash_ngrams, hash_words, slices, text_bytes
 
 GRAM = 4
 WINDOW = 4
@@ -68,7 +69,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def _words(texts: list[str | None]) -> tuple[Words, np.ndarray]:
     """Words, and each text's first word number and the end."""
-    w = hash_words(*text_bytes(pa.array([t or "" for t in texts], pa.string())))
+    w = hash_words(*text_bytes(pa.array([t or "" for t in texts], pa.string())), sep=PUNCTUATION)
     return w, np.searchsorted(w.doc, np.arange(len(texts) + 1))
 
 
@@ -89,7 +90,7 @@ def _hits(shared):
         maybe[wanted & mask] = True
         for batch in batches:
             for part in slices(batch, "text"):
-                w = hash_words(*text_bytes(part.column("text")))
+                w = hash_words(*text_bytes(part.column("text")), sep=PUNCTUATION)
                 grams, owner, at = hash_ngrams(w, GRAM, short=False)
                 keep = np.flatnonzero(maybe[grams & mask])
                 where = np.searchsorted(wanted, grams[keep])
@@ -161,14 +162,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     """(doc_id, item_id, score, matched, first_word, end_word): documents that hold a test item.
 
     ``score`` is the alignment's share of the whole item's score, ``matched``
-    the words of the item's in the range of the document's words. Items of fewer
+    the words of the item's in the range of the document's words (runs of
+    letters, digits and characters beyond ASCII). Items of fewer
     than GRAM words never match; null and empty texts have no words. Null ids
     stay null; repeated rows each come back.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "decontamination")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
     total = rows.count()

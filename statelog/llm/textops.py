@@ -37,6 +37,8 @@ def _stream(n: int, seed: int) -> np.ndarray:
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
+#: Everything in ASCII but letters and digits, for words without their punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = _stream(256, 11)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
@@ -80,7 +82,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE_BYTES that end where a text or a separator ends."""
     at, total = 0, int(offsets[-1])
     while at < total:
@@ -88,26 +90,26 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         if to < total:
             cut = int(offsets[np.searchsorted(offsets, to, "right") - 1])
             if cut <= at:
-                gaps = np.flatnonzero(_IS_SEP[data[at:to]])
+                gaps = np.flatnonzero(sep[data[at:to]])
                 if len(gaps):
                     cut = at + int(gaps[-1]) + 1
                 else:  # one word longer than a piece
-                    more = np.flatnonzero(_IS_SEP[data[to : int(offsets[np.searchsorted(offsets, at, "right")])]])
+                    more = np.flatnonzero(sep[data[to : int(offsets[np.searchsorted(offsets, at, "right")])]])
                     cut = to + int(more[0]) + 1 if len(more) else int(offsets[np.searchsorted(offsets, at, "right")])
             to = cut
         yield at, to
         at = to
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """All words; ``fold`` lower-cases A-Z, and nothing else."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, sep: np.ndarray = _IS_SEP) -> Words:
+    """All words; ``fold`` lower-cases A-Z, and nothing else. ``sep`` marks the bytes between words."""
     table = _FOLDED if fold else _BYTE
     starts, ends, hashes = [], [], []
-    for a, b in _pieces(data, offsets):
+    for a, b in _pieces(data, offsets, sep):
         part = data[a:b]
         word = np.empty(len(part) + 2, bool)
         word[0] = word[-1] = False
-        word[1:-1] = ~_IS_SEP[part]
+        word[1:-1] = ~sep[part]
         inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
         s = word[1:-1] & ~word[:-2]
         e = word[1:-1] & ~word[2:]

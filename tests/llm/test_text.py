@@ -128,7 +128,7 @@ def test_leaks(spark):
         if d % 3 == 0:
             i, words = rng.choice(items)
             edited = [rng.choice(vocabulary) if d % 2 and k % 9 == 8 else w for k, w in enumerate(words)]
-            text[len(text) // 2 : len(text) // 2] = [w.upper() for w in edited]
+            text[len(text) // 2 : len(text) // 2] = [w.upper() + rng.choice(["", "!!", "***"]) for w in edited]
             want.add((d, i))
         elif d % 3 == 1:
             text += rng.choice(items)[1][:5]  # a phrase in common is no leak
