@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.functions import commands as c
 
-from .state import get_as_of
-
 
 def session(lines: DataFrame) -> DataFrame:
     """(line_no, output) for each line of ``lines`` (line_no, line) that prints something, up to EXIT or QUIT.
 
-    A get sees the operations of the lines before it, found for all gets at once.
+    Lines are parsed once, and one window per key gives every get the newest
+    operation of the lines before it. Lines without a key count as keys of their
+    own, so that they don't meet in one task.
     """
-    calls = c.parse_lines(lines.select("line_no", "line")).select("line_no", "call.*")
-    stop = calls.filter(F.col("cmd").isin("EXIT", "QUIT")).agg(F.coalesce(F.min("line_no"), F.lit((1 << 63) - 1)).alias("stop"))
-    calls = calls.crossJoin(F.broadcast(stop)).filter("line_no < stop").drop("stop")  # one row
+    lines = lines.select("line_no", "line")
+    maybe = c.parse_lines(lines.filter(F.upper("line").rlike("EXIT|QUIT")))
+    stop = maybe.filter(F.col("call.cmd").isin("EXIT", "QUIT")).agg(F.coalesce(F.min("line_no"), F.lit((1 << 63) - 1)).alias("stop"))
+    calls = c.parse_lines(lines.crossJoin(F.broadcast(stop)).filter("line_no < stop").drop("stop"))  # one row
+    calls = calls.select("line_no", "call.*")
     n, arg = F.size("args"), lambda i: F.get("args", F.lit(i))
     ttl = c.duration_ns(F.coalesce(arg(2), F.lit("")))
     put = (F.col("cmd") == "PUT") & n.isin(2, 3)
-    good = put & ((n == 2) | ttl.isNotNull())
-    delete = (F.col("cmd") == "DELETE") & (n == 1)
-    get = (F.col("cmd") == "GET") & (n == 1)
+    stored = put & ((n == 2) | ttl.isNotNull())
+    deleted = (F.col("cmd") == "DELETE") & (n == 1)
+    asked = (F.col("cmd") == "GET") & (n == 1)
+    kind = F.when(~F.col("ok"), "bad").when(stored, "put").when(deleted, "delete").when(asked, "get").otherwise("other")
+    rows = calls.withColumn("kind", kind)
+    is_op = F.col("kind").isin("put", "delete")
+    own = F.struct(F.when(is_op | (F.col("kind") == "get"), arg(0)).alias("key"), F.when(~(is_op | (F.col("kind") == "get")), F.col("line_no")).alias("line"))
+    before = Window.partitionBy("own").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    op = F.when(is_op, F.struct(F.when(F.col("kind") == "put", arg(1)).alias("value")))
+    rows = rows.withColumn("own", own).withColumn("seen", F.last(op, ignorenulls=True).over(before))
+    usage = F.element_at(F.create_map(*[F.lit(x) for kv in c.USAGE.items() for x in kv]), F.col("cmd"))
     said = (
-        F.when(~F.col("ok"), F.when(F.col("err") != "", F.concat(F.lit("parse error: "), "err")))
-        .when(good | delete, "OK")
+        F.when(F.col("kind") == "bad", F.when(F.col("err") != "", F.concat(F.lit("parse error: "), "err")))
+        .when(is_op, "OK")
+        .when(F.col("kind") == "get", F.coalesce("seen.value", F.lit(c.NIL)))
         .when(put, c.BAD_TTL)
-        .when(F.col("cmd").isin(*c.USAGE), F.element_at(F.create_map(*[F.lit(x) for kv in c.USAGE.items() for x in kv]), F.col("cmd")))
+        .when(F.col("cmd").isin(*c.USAGE), usage)
         .otherwise(c.UNKNOWN)
     )
-    ops = calls.filter(F.col("ok") & (good | delete)).select(arg(0).alias("key"), F.when(put, arg(1)).alias("value"), (F.col("cmd") == "DELETE").alias("tombstone"), F.col("line_no").alias("seq"))
-    gets = calls.filter(F.col("ok") & get).select(arg(0).alias("key"), F.col("line_no").alias("seq"))
-    read = get_as_of(ops, gets).select(F.col("seq").alias("line_no"), F.coalesce("value", F.lit(c.NIL)).alias("output"))
-    rest = calls.filter(~(F.col("ok") & get)).select("line_no", said.alias("output")).filter("output IS NOT NULL")
-    return read.unionByName(rest)
+    return rows.select("line_no", said.alias("output")).filter("output IS NOT NULL")
