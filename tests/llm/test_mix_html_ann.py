@@ -94,6 +94,11 @@ def test_template_finds_content_without_names(spark):
     assert got == {i: f"Story {i} begins here\n\nand it ends with {i * 7} words more" for i in range(40)}
 
 
+def test_names_that_speak_of_others():
+    page = '<body class="has-sidebar header-big"><div class="no-comments"><article class="post with-ads header">x</article></div><div id="related"><article>a longer other text</article></div></body>'
+    assert html.extract(page, None) == "x"
+
+
 def test_template_merge_counts():
     trees = [html.folded(*html.parse(f"<body><div class=a>x{i % 2}</div><p>{i}</p></body>")) for i in range(6)]
     for t in trees[1:]:
