@@ -22,6 +22,8 @@ from .textops import _stream, mix64, slices
 DIMENSIONS = 1024
 #: About so many learned texts of each language, chosen by the hash of their ids.
 SAMPLE = 4000
+#: Languages up to which their counts are broadcast; beyond, they are joined by shuffling.
+BROADCAST_LANGUAGES = 100_000
 
 
 def _letter_table() -> np.ndarray:
@@ -127,6 +129,9 @@ def prototypes(docs: DataFrame, allowed, dim: int = DIMENSIONS, sample: int = SA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("c"))
+    known = sizes.limit(BROADCAST_LANGUAGES + 1).collect()
+    if len(known) <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in known], "lang string, c long"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < F.lit(1_000_000.0) * sample / F.col("c")
     few = rows.join(sizes, "lang").filter(share).select("lang", "text")
     sums = few.mapInArrow(_profiles(dim), "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
