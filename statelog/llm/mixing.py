@@ -27,7 +27,7 @@ from .textops import mix64
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 1024
 #: Documents of a source in one of the groups that word offsets are summed in.
-GROUP_DOCS = 20_000
+GROUP_DOCS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 _DRAW_LIMIT = 900_000_000
 
@@ -202,7 +202,8 @@ class Mix:
         """(doc_id, size, source_size, target, taken) of every row: words of it in the mix, repeats counted."""
         packed = self.stage.write(self.packed.withColumn("row", F.monotonically_increasing_id()), "packed")
         self.packed = packed
-        used = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
+        # Written, so that its true size decides how it is joined.
+        used = self.stage.write(self.slots.groupBy("src", "block").agg(F.count("*").alias("times")), "used")
         sums = self.parts().join(used, ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         out = packed.join(sums, "row", "left")
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
