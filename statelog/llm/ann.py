@@ -7,7 +7,8 @@ Each round then joins neighbours of neighbours: around every node, its
 neighbours and the nodes that it is a neighbour of are compared with each other,
 and what beats a node's worst neighbour is passed on. The work of a block of
 nodes is one task, which gets every vector it needs once; its memory is bounded
-by LOCAL_BLOCK * (DEGREE + REVERSE) vectors, whatever the number of rows.
+by LOCAL_BLOCK * (DEGREE + REVERSE) vectors in the graph's rounds, and by
+TASK_VECTORS in the search, whatever the number of rows.
 
 A query starts at its own node and repeatedly expands its ``beam`` nearest nodes
 so far to all their neighbours. The result is ranked by the exact inner product,
@@ -28,8 +29,10 @@ REVERSE = 32
 ROUNDS = 4
 BEAMS = (128, 256, 384)
 START_BLOCK = 2048
-LOCAL_BLOCK = 4096
-QUERY_BLOCK = 256
+LOCAL_BLOCK = 8192
+QUERY_BLOCK = 512
+#: Vectors that a task of the search may need at most, which bounds the queries it takes.
+TASK_VECTORS = 500_000
 #: Best partners that each comparison around one node passes on per node, and a block in all.
 PASSED = 8
 KEPT = 64
@@ -186,7 +189,7 @@ class Index:
         return graph.select("node", "nbr").union(back.select("node", "nbr")).groupBy("node").agg(F.collect_set("nbr").alias("near"))
 
     def _round(self, graph: DataFrame) -> DataFrame:
-        blocks = max(1, -(-self.size // LOCAL_BLOCK))
+        blocks = self._blocks(self.size, LOCAL_BLOCK)
         around = self.stage.write(self._near(graph).withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(blocks)).cast("int")), "around")
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= self.degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
         who = around.select(F.col("b").alias("mb"), F.explode("near").alias("node")).distinct()
@@ -197,6 +200,10 @@ class Index:
         self.stage.drop(around, graph)
         return out
 
+    def _blocks(self, rows: int, most: int) -> int:
+        """Blocks of at most about ``most`` rows, and enough to occupy all cores."""
+        return max(1, -(-rows // most), min(rows, self.spark.sparkContext.defaultParallelism))
+
     def search(self, queries: DataFrame, beams: tuple[int, ...] = BEAMS) -> DataFrame:
         """(query_id, rank, vec_id, score) for the rows of the index whose ids are in ``queries.query_id``."""
         k, stage = self.k, self.stage
@@ -204,8 +211,8 @@ class Index:
         own = self.nodes.select("node", F.col("v").alias("nv"))
         ask = stage.write(ask.join(own, ask.v == own.nv).select(F.col("vec_id").alias("query_id"), "v", "node"), "ask")
         starts = ask.select("node").distinct()
-        count = starts.count()
-        block = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(max(1, -(-count // QUERY_BLOCK)))).cast("int")
+        most = QUERY_BLOCK if self.size <= TASK_VECTORS else max(1, TASK_VECTORS // (max(beams) * (self.degree + REVERSE)))
+        block = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(self._blocks(starts.count(), most))).cast("int")
         beam = starts.join(self.near, "node", "left").select("node", F.array_union(F.array("node"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"), block.alias("b"))
         beam = stage.write(beam, "beam")
         for width in beams:
