@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mixed_words
 from .quality import quality
 from .secrets import BASE_KINDS, find_secrets
+from .staging import Stage
 from .tokens import length_histogram, suffix_sums
 from .toxicity import toxicity
 
@@ -61,7 +62,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    # Written, since the sums read it twice and each reading would encode all texts again.
+    return suffix_sums(Stage(spark, "tokens").write(length_histogram(table(spark, sf_dir, "documents"))))
 
 
 def op10_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
