@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-The n-grams of the test items are looked up in every document. A gram seeds a
-comparison if few documents have it, or if it is the rarest of some WINDOW
-consecutive grams of its item, so that a stretch of WINDOW + n - 1 words copied
-as they are always holds a seed, however many documents share it. Around the
-seeds of an item a document's words are aligned with the item's by the
-Smith-Waterman recurrence over word hashes, which scores edited copies; the
-score is the share of what the whole item would get. Words are compared in lower
-case and without ASCII punctuation, which edited copies often change.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
+
+The n-grams of the test items are looked up in every document. Every gram that a
+document shares with an item seeds a comparison, however many documents have it,
+so that an edited copy with GRAM words in a row left as they were is compared.
+Around the seeds of an item a document's words are aligned with the item's by
+the Smith-Waterman recurrence over word hashes, which scores edited copies; the
+score is the share of what the whole item would get. Where too few of the item's
+words are near the seeds for that score, the alignment is left out. Words are
+compared in lower case and without ASCII punctuation, which edited copies often
+change.
 """
 
 from __future__ import annotations
@@ -23,9 +24,6 @@ from .staging import Stage
 from .textops import PUNCTUATION, Words, hash_ngrams, hash_words, slices, text_bytes
 
 GRAM = 4
-WINDOW = 4
-#: A gram is rare if at most this share of the documents has it.
-RARE = 1e-4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 LEAST_WORDS = 8
@@ -109,46 +107,46 @@ def _hits(shared):
     return run
 
 
-def choose_seeds(grams: np.ndarray, owner: np.ndarray, frequency: np.ndarray, most: float) -> np.ndarray:
-    """Which grams (in item order) are seeds."""
-    seed = frequency <= most
-    for a in range(len(grams)):
-        b = a
-        while b < len(grams) and b < a + WINDOW and owner[b] == owner[a]:
-            b += 1
-        if b - a == WINDOW or a == 0 or owner[a - 1] != owner[a]:
-            seed[a + int(frequency[a:b].argmin())] = True
-    return seed
+def promising(item: np.ndarray, text: np.ndarray, least: float) -> bool:
+    """Whether an alignment of ``least`` of the item's score can lie in ``text``: a bound that loses none.
+
+    Such an alignment matches that share of the item's words, each with a word
+    of its own of the text, and spans at most (3 - 2 * least) words for each of
+    the item's.
+    """
+    need = least * len(item)
+    if np.isin(item, text).sum() < need:
+        return False
+    inside = np.concatenate([[0], np.cumsum(np.isin(text, item))])
+    span = min(len(text), int(np.ceil((3 - 2 * least) * len(item))))
+    return bool((inside[span:] - inside[: len(inside) - span]).max() >= need)
 
 
 def _aligned(shared, least: float, least_words: int):
     kinds = ["doc_id", "item_id", "score", "matched", "first_word", "end_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, starts, seeds = shared.value
+        ids, hashes, starts, known, owners, own_grams, own_starts = shared.value
         sizes = np.diff(starts)
         for batch in batches:
             out: list[tuple] = []
             w, first = _words(batch.column("text").to_pylist())
             for i, (doc, grams, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("grams").to_pylist(), batch.column("at").to_pylist(), strict=True)):
                 text = w.hash[first[i] : first[i + 1]]
-                places: dict[int, list[int]] = {}
-                for g, p in zip(grams, at, strict=True):
-                    for item in seeds.get(g, ()):
-                        places.setdefault(item, []).append(p)
-                for item, where in places.items():
-                    size, best = int(sizes[item]), (0, 0, 0)
-                    where.sort()
-                    a = 0
-                    for b in range(1, len(where) + 1):
-                        if b < len(where) and where[b] - where[b - 1] <= 2 * size:
+                grams, at = np.array(grams, np.int64).view(np.uint64), np.array(at, np.int64)
+                had = np.unique(grams)
+                among = [owners[a:b] for a, b in zip(np.searchsorted(known, had), np.searchsorted(known, had, "right"), strict=True)]
+                for item in np.unique(np.concatenate(among)).tolist():
+                    where = np.sort(at[np.isin(grams, own_grams[own_starts[item] : own_starts[item + 1]])])
+                    size, best, words = int(sizes[item]), (0, 0, 0), hashes[starts[item] : starts[item + 1]]
+                    for some in np.split(where, np.flatnonzero(np.diff(where) > 2 * size) + 1):
+                        lo, hi = max(0, int(some[0]) - 2 * size), min(len(text), int(some[-1]) + 2 * size)
+                        if not promising(words, text[lo:hi], least):
                             continue
-                        lo, hi = max(0, where[a] - 2 * size), min(len(text), where[b - 1] + 2 * size)
-                        got = align(hashes[starts[item] : starts[item + 1]], text[lo:hi])
+                        got = align(words, text[lo:hi])
                         if got[0] > best[0]:
                             best = (got[0], got[1] + lo, got[2] + lo)
-                        a = b
-                    matched = int(np.isin(text[best[1] : best[2]], hashes[starts[item] : starts[item + 1]]).sum())
+                    matched = int(np.isin(text[best[1] : best[2]], words).sum())
                     if best[0] >= least * MATCH * size and matched >= min(least_words, size):
                         out.append((doc, ids[item], best[0] / (MATCH * size), matched, best[1], best[2]))
             cols = list(zip(*out, strict=True)) or [()] * 6
@@ -158,7 +156,7 @@ def _aligned(shared, least: float, least_words: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS, rare: float = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, score, matched, first_word, end_word): documents that hold a test item.
 
     ``score`` is the alignment's share of the whole item's score, ``matched``
@@ -173,7 +171,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
-    total = rows.count()
     out = None
     for p in range(parts):
         few = sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect())
@@ -181,17 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
         grams, owner, _ = item_grams(texts)
         known = np.unique(grams)
         hits = stage.write(rows.mapInArrow(_hits(spark.sparkContext.broadcast(known)), "doc_id long, text string, grams array<long>, at array<long>"), "hits")
-        # At most one row for each gram of this part, whose size is bounded.
-        counts = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("c")).collect()
-        often = {r.g: r.c for r in counts}
-        frequency = np.array([often.get(g, 0) for g in grams.view(np.int64).tolist()], np.int64)
-        chosen = choose_seeds(grams, owner, frequency, max(2.0, rare * total))
-        seeds: dict[int, list[int]] = {}
-        for g, item in zip(grams[chosen].view(np.int64).tolist(), owner[chosen].tolist(), strict=True):
-            if item not in seeds.setdefault(g, []):
-                seeds[g].append(item)
         w, first = _words(texts)
-        shared = spark.sparkContext.broadcast(([i for _, _, i in few], w.hash, first, seeds))
+        order = np.argsort(grams, kind="stable")
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        shared = spark.sparkContext.broadcast(([i for _, _, i in few], w.hash, first, grams[order], owner[order], grams, bounds))
         found = hits.mapInArrow(_aligned(shared, least, least_words), "doc_id long, item_id long, score double, matched long, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out

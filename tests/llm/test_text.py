@@ -144,6 +144,36 @@ def test_a_leak_that_every_document_has_is_found(spark):
     assert contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 50
 
 
+@pytest.mark.parametrize("step", [5, 6, 7])
+def test_an_edited_leak_that_many_documents_have_is_found(spark, step):
+    def local(item, text):
+        above, best = [0] * (len(text) + 1), 0
+        for a in item:
+            row = [0]
+            for j, b in enumerate(text):
+                row.append(max(0, above[j] + (2 if a == b else -1), above[j + 1] - 1, row[j] - 1))
+            above, best = row, max(best, *row)
+        return best / (2 * len(item))
+
+    items = {i: [f"q{i}x{k}" for k in range(40)] for i in range(2)}
+    copies = {i: ["edited" if k % step == step - 1 else w for k, w in enumerate(words)] for i, words in items.items()}
+    texts = {d: [f"own{d}", f"words{d}", *(copies[d % 3] if d % 3 < 2 else items[0][: step - 1]), f"more{d}"] for d in range(300)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    scores = {(d, i): local(w, t) for d, t in texts.items() for i, w in items.items()}
+    want = {k: s for k, s in scores.items() if s >= decontam.LEAST_SCORE}
+    assert len(want) == 200
+    assert {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()} == want
+
+
+@given(st.lists(st.integers(0, 5), min_size=4, max_size=12), st.lists(st.integers(0, 8), min_size=1, max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_no_alignment_is_ruled_out(item, text):
+    item, text = np.array(item, np.uint64), np.array(text, np.uint64)
+    least = decontam.LEAST_SCORE
+    assert decontam.promising(item, text, least) or decontam.align(item, text)[0] < least * decontam.MATCH * len(item)
+
+
 def test_odd_items(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "alpha beta gamma"), (None, "alpha beta gamma delta epsilon zeta"), (4, "x" * 5000)], "item_id long, text string")
     got = contaminated(odd, bench).collect()
