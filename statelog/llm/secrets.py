@@ -29,9 +29,12 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=M[A-Za-z0-9]|b3BlbnNza)[A-Za-z0-9+/_-]{56,}={0,2}")
+#: A segment starts with a brace, alone or after blanks, in base64; decoding decides.
+_OBJECT = r"(?:e[w-z0-3]|C[QSXgin]|D[QSX]|I[ACH])[A-Za-z0-9_-]+"
+_JWT = re.compile(rf"(?<![A-Za-z0-9_.-])({_OBJECT})\.({_OBJECT})\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----")
+_ESCAPE = re.compile(r"\\+[nr]")
+_RUN = re.compile(r"(?<![A-Za-z0-9+_-])(?=M[A-Za-z0-9]|b3BlbnNza)[A-Za-z0-9+/_-]{56,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
 
 
@@ -138,11 +141,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in m[2].splitlines() if ":" not in x]
+            lines = [x for x in _ESCAPE.sub("\n", m[2]).splitlines() if ":" not in x]
             body = decode_base64("".join(lines))
             locked = "Proc-Type: 4,ENCRYPTED" in m[2] and bool(body)
             if locked or is_private_key(body):

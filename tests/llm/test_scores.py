@@ -158,6 +158,23 @@ def test_structure_decides():
     assert kinds("a " + base64.b64encode(b"just some long text that is not a key at all, really not one").decode()) == []
 
 
+def test_common_forms_of_keys_and_tokens():
+    found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, b, k in secrets.scan(t) if k > 2]
+    for good in (RSA, WRAPPED):
+        key = base64.b64encode(good).decode()
+        assert found(f"PRIVATE_KEY={key}\n") == [("der", key)] == found(f"keys/{key}")
+        for escape in ("\\n", "\\r\\n", "\\\\n"):
+            block = pem(good).replace("\n", escape)
+            assert found(json.dumps({"private_key": "x"}).replace("x", block)) == [("pem", block)]
+            assert found(pem(good[:-1]).replace("\n", escape)) == []
+    enc = lambda text: base64.urlsafe_b64encode(text.encode()).rstrip(b"=").decode()
+    for head in ('{ "alg": "HS256"}', '{\n  "alg": "HS256"\n}', '{\r\n"alg": "none"}', '{\t"alg": "HS256"}', ' {"alg": "HS256"}', '\n{"alg": "HS256"}'):
+        for body in ('{"sub": 1}', '{ "sub": 1 }', "{}", '\r\n{"sub": 1}'):
+            made = f"{enc(head)}.{enc(body)}.c2ln"
+            assert found(f"token {made} end") == [("jwt", made)]
+    assert found(f"{enc('[1, 2, 3, 4]')}.{enc('{}')}.c2ln") == [] == found("Drop.Cat.in Iraq.Cuba.end")
+
+
 def test_redaction(spark, odd, none):
     text = f"é password = hunter22 and {pem(RSA)} end {token()}"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
