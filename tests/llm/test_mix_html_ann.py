@@ -94,6 +94,16 @@ def test_template_finds_content_without_names(spark):
     assert got == {i: f"Story {i} begins here\n\nand it ends with {i * 7} words more" for i in range(40)}
 
 
+def test_only_places_are_constant(spark):
+    bare = lambda i: f"<body><ul><li>Sports</li><li>Contact</li></ul><div><h1>{'Sports' if i == 3 else f'Title {i}'}</h1><p>Story {i} goes on for {i * 7} words</p><p>{'Contact' if i == 3 else f'End {i}'}</p></div></body>"
+    copy = lambda i: f"<body><ul><li>Home</li></ul><article><h1>One title</h1><p>{'Other' if i == 3 else 'Same'} story</p></article><div>Imprint</div></body>"
+    rows = [(i, f"http://{h}.example/x", page(i)) for h, page in (("bare", bare), ("copy", copy)) for i in range(20)]
+    got = {(r.url[7:11], r.page_id): r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got["bare", i] == ("Sports\n\nStory 3 goes on for 21 words\n\nContact" if i == 3 else f"Title {i}\n\nStory {i} goes on for {i * 7} words\n\nEnd {i}")
+        assert got["copy", i] == f"One title\n\n{'Other' if i == 3 else 'Same'} story"
+
+
 def test_names_that_speak_of_others():
     page = '<body class="has-sidebar header-big"><div class="no-comments"><article class="post with-ads header">x</article></div><div id="related"><article>a longer other text</article></div></body>'
     assert html.extract(page, None) == "x"
