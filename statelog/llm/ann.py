@@ -5,18 +5,21 @@ smallest ids, which is all that any list of k can hold. Two random divisions of
 the nodes into blocks, searched exactly, give every node its first neighbours.
 Each round then joins neighbours of neighbours: around every node, its
 neighbours and the nodes that it is a neighbour of are compared with each other,
-and what beats a node's worst neighbour is passed on. The work of a block of
+and what beats a node's worst neighbour is passed on, until a round changes hardly
+any list. The work of a block of
 nodes is one task, which gets every vector it needs once; its memory is bounded
 by LOCAL_BLOCK * (DEGREE + REVERSE) vectors in the graph's rounds, and by
 TASK_VECTORS in the search, whatever the number of rows.
 
 A query starts at its own node and repeatedly expands its ``beam`` nearest nodes
-so far to all their neighbours. The result is ranked by the exact inner product,
+so far to all their neighbours, until its beam gains no node. The result is ranked by the exact inner product,
 in double precision, of the original vectors.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,8 +29,12 @@ from .staging import Stage
 
 DEGREE = 32
 REVERSE = 32
-ROUNDS = 4
+#: Rounds end when at most this share of all edges is new.
+CHANGED = 0.001
+#: Beams of the first steps; the last one is that of all further steps.
 BEAMS = (128, 256, 384)
+#: A node must be nearer than one of the beam by this share to replace it, so that ties end.
+NEARER = 1e-9
 START_BLOCK = 2048
 LOCAL_BLOCK = 8192
 QUERY_BLOCK = 512
@@ -110,7 +117,7 @@ def _local_join(passed: int, degree: int):
 
 
 def _expand(beam: int):
-    """One step of every query of a block: the ``beam`` nearest of its beam and their neighbours."""
+    """One step of every query of a block: the ``beam`` nearest of its beam and the neighbours, and which are fresh."""
 
     def run(lists: pa.Table, vectors: pa.Table) -> pa.Table:
         ids = np.array(vectors["node"])
@@ -119,20 +126,23 @@ def _expand(beam: int):
         kind, node = np.array(lists["kind"]), np.array(lists["node"])
         near = lists["near"].to_pylist()
         adjacent = {int(node[i]): np.searchsorted(ids, near[i]) for i in np.flatnonzero(kind == 1)}
-        names, beams = [], []
+        names, beams, fresh = [], [], []
         for i in np.flatnonzero(kind == 0).tolist():
-            seen = np.zeros(len(ids), bool)
-            seen[np.searchsorted(ids, near[i])] = True
+            seen, had = np.zeros(len(ids), bool), np.searchsorted(ids, near[i])
+            seen[had] = True
             for f in near[i]:
                 if f in adjacent:
                     seen[adjacent[f]] = True
             at = np.flatnonzero(seen)
-            s = x[at] @ x[np.searchsorted(ids, node[i])]
+            s = x[at].astype(np.float64) @ x[np.searchsorted(ids, node[i])].astype(np.float64)
             if len(at) > beam:
+                s[np.isin(at, had)] += NEARER * np.abs(s).max()
                 at = at[np.argpartition(-s, beam - 1)[:beam]]
             names.append(int(node[i]))
             beams.append(np.union1d(ids[at], node[i : i + 1]).tolist())
-        return pa.table({"node": pa.array(names, pa.int64()), "near": pa.array(beams, pa.list_(pa.int64()))})
+            fresh.append(np.setdiff1d(beams[-1], near[i]).tolist())
+        lists_of = pa.list_(pa.int64())
+        return pa.table({"node": pa.array(names, pa.int64()), "near": pa.array(beams, lists_of), "fresh": pa.array(fresh, lists_of)})
 
     return run
 
@@ -145,7 +155,7 @@ class Index:
     vector counts; vectors not of the most frequent length take no part.
     """
 
-    def __init__(self, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, degree: int = DEGREE, rounds: int = ROUNDS):
+    def __init__(self, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, degree: int = DEGREE, changed: float = CHANGED):
         self.spark, self.k, self.degree = table.sparkSession, k, degree
         self.stage = stage = Stage(self.spark, "ann")
         rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -162,8 +172,9 @@ class Index:
         self.size = self.vectors.count()
         self.graph = self._start()
         if self.size > START_BLOCK:
-            for _ in range(rounds):
-                self.graph = self._round(self.graph)
+            fresh, edges = 1, 0
+            while fresh > changed * edges:
+                self.graph, fresh, edges = self._round(self.graph)
         self.near = stage.write(self._near(self.graph), "near")
 
     def _start(self) -> DataFrame:
@@ -174,10 +185,10 @@ class Index:
             block = F.pmod(F.xxhash64("node", F.lit(t)), F.lit(blocks))
             found = self.vectors.groupBy(block.alias("b")).applyInArrow(_block_start(self.degree // times), _EDGE)
             out = found if out is None else out.unionByName(found)
-        return self.stage.write(self._best(out), "graph")
+        return self.stage.write(self._best(out.withColumn("fresh", F.lit(1))), "graph")
 
     def _best(self, edges: DataFrame) -> DataFrame:
-        one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
+        one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
         order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
         return one.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= self.degree).drop("r")
 
@@ -188,7 +199,8 @@ class Index:
         back = back.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
         return graph.select("node", "nbr").union(back.select("node", "nbr")).groupBy("node").agg(F.collect_set("nbr").alias("near"))
 
-    def _round(self, graph: DataFrame) -> DataFrame:
+    def _round(self, graph: DataFrame) -> tuple[DataFrame, int, int]:
+        """The graph after a round, how many of its edges are new, and how many it has."""
         blocks = self._blocks(self.size, LOCAL_BLOCK)
         around = self.stage.write(self._near(graph).withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(blocks)).cast("int")), "around")
         worst = graph.groupBy("node").agg(F.when(F.count("*") >= self.degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
@@ -196,9 +208,10 @@ class Index:
         carried = self.vectors.join(worst, "node", "left").select("node", "vec", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
         members = who.join(carried, "node")
         found = around.select("b", "near").groupBy("b").cogroup(members.select("mb", "node", "vec", "least").groupBy("mb")).applyInArrow(_local_join(PASSED, self.degree), _EDGE)
-        out = self.stage.write(self._best(graph.unionByName(found)), "graph")
+        both = graph.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1)))
+        out = self.stage.write(self._best(both), "graph")
         self.stage.drop(around, graph)
-        return out
+        return out, *out.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.count("*")).first()
 
     def _blocks(self, rows: int, most: int) -> int:
         """Blocks of at most about ``most`` rows, and enough to occupy all cores."""
@@ -214,17 +227,28 @@ class Index:
         most = QUERY_BLOCK if self.size <= TASK_VECTORS else max(1, TASK_VECTORS // (max(beams) * (self.degree + REVERSE)))
         block = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(self._blocks(starts.count(), most))).cast("int")
         beam = starts.join(self.near, "node", "left").select("node", F.array_union(F.array("node"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"), block.alias("b"))
-        beam = stage.write(beam, "beam")
-        for width in beams:
-            fringe = beam.select("b", F.explode("near").alias("node")).distinct()
+        beam = stage.write(beam.withColumn("fresh", F.col("near")), "beam")
+        ended, step, left = [], 0, 1
+        while step < len(beams) or left:
+            width = beams[min(step, len(beams) - 1)]
+            # While beams grow, all their nodes are expanded, since what a smaller one had no room for counts again.
+            fringe = beam.select("b", F.explode("near" if step < len(beams) else "fresh").alias("node")).distinct()
             lists = stage.write(fringe.join(self.near, "node", "left").select("b", "node", F.coalesce("near", F.array("node")).alias("near")), "lists")
-            wanted = lists.select(F.col("b").alias("vb"), F.explode(F.array_union("near", F.array("node"))).alias("node")).distinct()
+            asked = beam.select("b", "near").union(lists.select("b", "near"))
+            wanted = asked.select(F.col("b").alias("vb"), F.explode("near").alias("node")).distinct()
             vectors = wanted.join(self.vectors, "node").select("vb", "node", "vec")
             both = beam.select("b", F.lit(0).alias("kind"), "node", "near").union(lists.select("b", F.lit(1), "node", "near"))
-            stepped = both.groupBy("b").cogroup(vectors.groupBy("vb")).applyInArrow(_expand(width), "node long, near array<long>")
+            stepped = both.groupBy("b").cogroup(vectors.groupBy("vb")).applyInArrow(_expand(width), "node long, near array<long>, fresh array<long>")
             after = stage.write(stepped.withColumn("b", block), "beam")
-            stage.drop(beam, lists)
-            beam = after
+            stage.drop(lists)
+            step += 1
+            if step < len(beams):
+                beam = after
+                continue
+            ended.append(after.filter(F.size("fresh") == 0).select("node", "near"))
+            beam = after.filter(F.size("fresh") > 0)
+            left = beam.count()
+        beam = reduce(DataFrame.union, ended)
         found = ask.join(beam.select("node", F.explode("near").alias("cand")), "node").select("query_id", F.col("v").alias("qv"), "cand")
         cands = self.nodes.select(F.col("node").alias("cand"), "v")
         product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

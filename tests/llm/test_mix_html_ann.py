@@ -189,6 +189,26 @@ def test_recall_over_many_blocks(spark, monkeypatch):
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) > 0.9
 
 
+def test_rounds_and_steps_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "START_BLOCK", 16)
+    monkeypatch.setattr(ann, "REVERSE", 4)
+    rng = np.random.default_rng(7)
+    turn = rng.permutation(1500) * 2 * np.pi / 1500
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(turn)]
+    index = ann.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, degree=6)
+    lists: dict[int, set] = {}
+    for r in index.graph.collect():
+        lists.setdefault(r.node, set()).add(r.nbr)
+    want = exact(rows, 1, 4)
+    assert np.mean([len(lists[q] & {i for i, _ in want[q]}) / 4 for q in want]) > 0.82  # four rounds reach 0.75
+    # A path that starts at the far end of a line of nodes takes many steps.
+    near = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 12]) for i in range(12)], "node long, near array<long>")
+    line = ann.Index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "vec_id long, embedding array<double>"), k=4)
+    line.near = near
+    found = line.search(spark.createDataFrame([(1,)], "query_id long"), beams=(4, 6)).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [11, 10, 9, 8]
+
+
 def test_pipeline(spark, data):
     pipeline = pytest.importorskip("corpus_pipeline")
     from test_text import brute
