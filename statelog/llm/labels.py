@@ -12,19 +12,30 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
-    """(doc_id, label) of at most ``most`` labelled ids, those of the smallest hash.
+def labelled(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    """(doc_id, label) of the ids that may be learned from.
 
     Ids or labels that are null take no part; of several labels of one id the
-    largest counts. The bound makes the result fit for broadcasting.
+    largest counts.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & allowed)
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of ``labelled``, those of the smallest hash.
+
+    The bound makes the result fit for broadcasting.
+    """
+    return labelled(labels, label, allowed).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(text, label) of the documents in a sample, by a broadcast of its bounded ids."""
+    """(text, label) of the documents in a sample, by a broadcast of its bounded ids.
+
+    Of several rows of one id the greatest text counts, so that the bound of the
+    sample holds for rows too, however often an id is repeated.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").select("text", "label")
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label")

@@ -176,7 +176,7 @@ def components(links: DataFrame, stage: Stage, a: str = "hub", b: str = "member"
     """
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct()
     edges = stage.write(both, "edges")
-    labels = stage.write(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("comp")).withColumnRenamed("x", "node"), "labels")
+    labels = written = stage.write(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("comp")).withColumnRenamed("x", "node"), "labels")
     while True:
         near = edges.join(labels, edges.y == labels.node).groupBy("x").agg(F.min("comp").alias("best"))
         pulled = labels.join(near, labels.node == near.x).select("node", F.least("comp", "best").alias("new"), F.col("comp").alias("old"))
@@ -184,9 +184,8 @@ def components(links: DataFrame, stage: Stage, a: str = "hub", b: str = "member"
         jumped = pulled.join(root, pulled.new == root.r, "left").select("node", F.least("new", "up").alias("comp"), "old")
         after = stage.write(jumped, "labels")
         moved = after.filter(F.col("comp") != F.col("old")).limit(1).count()
-        stage.drop(labels)
-        labels = after.select("node", "comp")
-        labels._stage_path = after._stage_path
+        stage.drop(written)
+        written, labels = after, after.select("node", "comp")
         if not moved:
             return labels
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; only a local session, as in tests, may do without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"{tempfile.gettempdir()}/statelog-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Stage:
@@ -22,23 +27,24 @@ class Stage:
 
     A table that was written is read again by any executor, so losing executors
     costs at most the tasks that were running. ``drop`` removes a table that a
-    later one has replaced.
+    later one has replaced, ``clear`` all that are left once no result reads them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.written: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count:03d}-{name}"
+        path = f"{self.folder}/{len(self.written):03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._stage_path = path
+        self.written.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._stage_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [p for t, p in self.written if any(t is x for x in tables)]:
+            delete(self.spark, path)
+
+    def clear(self) -> None:
+        delete(self.spark, self.folder)

@@ -64,13 +64,18 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """Words of several texts in order: their text's number, byte range in ``data``, hash."""
+    """Words of several texts in order: their text's number, byte range in ``data``, hash.
+
+    ``prefix`` has a row of hashes for each length that was asked for; words that
+    aren't longer than it have 0 there.
+    """
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     n_docs: int
+    prefix: np.ndarray | None = None
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +106,10 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[
         at = to
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, sep: np.ndarray = _IS_SEP) -> Words:
+def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, sep: np.ndarray = _IS_SEP, prefixes: tuple[int, ...] = ()) -> Words:
     """All words; ``fold`` lower-cases A-Z, and nothing else. ``sep`` marks the bytes between words."""
     table = _FOLDED if fold else _BYTE
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, heads = [], [], [], []
     for a, b in _pieces(data, offsets, sep):
         part = data[a:b]
         word = np.empty(len(part) + 2, bool)
@@ -121,12 +126,19 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, sep: np
         np.cumsum(table[part] * _power("up", len(part) + 1)[: len(part)], out=total[1:])
         h = (total[e] - total[s]) * _power("down", len(part) + 1)[s]
         hashes.append(mix64(h + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)))
+        if prefixes:
+            down, head = _power("down", len(part) + 1)[s], np.zeros((len(prefixes), len(s)), _U)
+            for row, k in zip(head, prefixes, strict=True):
+                longer = e - s > k
+                row[longer] = mix64((total[s[longer] + k] - total[s[longer]]) * down[longer] + _U(k))
+            heads.append(head)
         starts.append(s + a)
         ends.append(e + a)
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     start = cat(starts, np.int64)
     doc = np.searchsorted(offsets, start, "right") - 1
-    return Words(doc.astype(np.int64), start, cat(ends, np.int64), cat(hashes, _U), len(offsets) - 1)
+    prefix = (np.concatenate(heads, axis=1) if heads else np.zeros((len(prefixes), 0), _U)) if prefixes else None
+    return Words(doc.astype(np.int64), start, cat(ends, np.int64), cat(hashes, _U), len(offsets) - 1, prefix)
 
 
 def hash_ngrams(words: Words, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,15 +33,101 @@ def test_maximal_segments(scores):
             return []
         return best(a, top[3]) + [(top[3], top[4] - 1, top[0])] + best(top[4], b)
 
-    got = toxicity.maximal_segments(list(range(len(scores))), [float(s) for s in scores])
-    assert sum(x[2] for x in got) == sum(x[2] for x in best(0, len(scores)))
-    assert max((x[2] for x in got), default=0) == max((x[2] for x in best(0, len(scores))), default=0)
+    want = best(0, len(scores))
+    got = toxicity.maximal_segments(np.array(scores, float))
+    assert sum(x[2] for x in got) == sum(x[2] for x in want)
+    assert max((x[2] for x in got), default=0) == max((x[2] for x in want), default=0)
+    # Segments are disjoint, sum to their scores, and no prefix or suffix of one is worth nothing or less.
+    assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
+    for a, b, s in got:
+        assert sum(scores[a : b + 1]) == s
+        assert all(sum(scores[a:i]) > 0 and sum(scores[i : b + 1]) > 0 for i in range(a + 1, b + 1))
+
+
+def planted(texts, kind, seed):
+    """The texts with three planted tokens in every eighth, and which these are."""
+    rng = np.random.default_rng(seed)
+    letters = list("abcdefghij")
+    if kind == "insults":
+        plants = ["loser", "idiot", "moron", "scum", "trash"]
+    elif kind == "rare words":
+        plants = ["".join(rng.choice(letters, 7)) for _ in range(200)]
+    elif kind == "inflected":
+        plants = ["zyqev" + "".join(rng.choice(letters, 3)) for _ in range(200)]
+    else:  # pairs of words that are common by themselves
+        common = ["the", "of", "and", "to", "in", "that", "is", "it"]
+        plants = [" ".join(rng.choice(common, 2)) + " " + " ".join(rng.choice(common, 2)) for _ in range(6)]
+    out, marks = [], []
+    for i, t in enumerate(texts):
+        words, mark = t.split(" "), i % 8 == 3
+        for _ in range(3 if mark else 0):
+            words.insert(rng.integers(len(words) + 1), plants[rng.integers(len(plants))])
+        out.append(" ".join(words))
+        marks.append(int(mark))
+    return out, marks
+
+
+@pytest.mark.parametrize("kind", ["insults", "rare words", "inflected", "pairs"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_planted_toxicity(spark, data, kind, seed):
+    """Whatever the vocabulary, learned from other texts: most planted texts are above nine tenths of the clean ones."""
+    import zlib
+
+    texts = [r.text for r in spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet").filter("doc_id % 6 = 1 and lang = 'en' and text is not null").select("text").collect()]
+    texts, marks = planted(texts, kind, seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).select("doc_id", "score").collect()}
+    held = [i for i in score if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert auc([score[i] for i in held], [marks[i] for i in held]) > 0.9
+
+
+def test_toxicity_brute_force(spark):
+    """Weights and scores of a small table, against counting in plain Python."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["stone", "stones", "river", "rivers", "riverbank", "oak", "elm", "a", "venomous", "venomously"]
+    texts = [" ".join(rng.choice(vocabulary[: 8 + 2 * (i % 3 == 0)], 12)) for i in range(90)]
+    marks = [int(i % 3 == 0) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    allowed = fold("doc_id", 4) != 2
+    model = toxicity.fit(docs, labels, allowed)
+    learned = {r.doc_id for r in docs.filter(allowed).collect()}
+    rate = sum(marks[i] for i in learned) / len(learned)
+
+    def counted(test):
+        held = [i for i in learned if test(texts[i].split())]
+        return len(held), sum(marks[i] for i in held)
+
+    def odds(words, at):
+        share = rate
+        tests = [lambda ws, k=k: any(w.startswith(words[at][:k]) and len(w) > k for w in ws) for k in toxicity.PREFIXES if len(words[at]) > k]
+        tests.append(lambda ws: words[at] in ws)
+        if at:
+            tests.append(lambda ws: (words[at - 1], words[at]) in zip(ws, ws[1:]))
+        for level, test in enumerate(tests):
+            n, toxic = counted(test)
+            if n and (level < len(tests) - 1 or not at or n > 1):
+                share = (toxic + toxicity.STRENGTH * share) / (n + toxicity.STRENGTH)
+        return np.log(share / (1 - share)) - np.log(rate / (1 - rate)) - toxicity.DRIFT
+
+    import pyarrow as pa
+
+    for i in range(0, 90, 7):
+        words = texts[i].split()
+        got = toxicity.token_scores(toxicity.words_of(pa.array([texts[i]])), model)
+        assert np.allclose(got, [odds(words, j) for j in range(len(words))], atol=1e-5)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        found = toxicity.maximal_segments(toxicity.token_scores(toxicity.words_of(pa.array([t])), model))
+        x = np.log1p(sum(np.log1p(np.exp(model.lam * s) / (model.k * 12)) for _, _, s in found))
+        assert np.isclose(scores[i], 1 / (1 + np.exp(-(model.slope * x + model.bias))))
 
 
 def test_held_out_scores(spark, data):
     data = data.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    for name, field, least in (("op4_quality_classifier", "quality", 0.97), ("op2_toxicity", "toxic", 0.75)):
+    for name, field, least in (("op4_quality_classifier", "quality", 0.97), ("op2_toxicity", "toxic", 0.97)):
         rows = catalog.QUERIES[name](spark, data).collect()
         assert len(rows) == spark.read.parquet(f"{data}/documents.parquet").count()
         held = [r for r in rows if r.held_out and r.doc_id in labels]
