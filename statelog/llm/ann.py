@@ -1,25 +1,24 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors form one node, so copies cost nothing; a node keeps its k + 1
-smallest ids, which is all that any list of k can hold. Two random divisions of
-the nodes into blocks, searched exactly, give every node its first neighbours.
-Each round then joins neighbours of neighbours: around every node, its
+Equal vectors form one node. Nodes are numbered in the order of the signs of
+fixed random projections, so that near nodes tend to have near numbers, and
+BLOCK consecutive ones are a block; a block's edges are one row of packed arrays.
+Small groups, of neighbours in that order and of random nodes, give the first
+edges. A round then joins neighbours of neighbours: around every node, its
 neighbours and the nodes that it is a neighbour of are compared with each other,
-and what beats a node's worst neighbour is passed on, until a round changes hardly
-any list. The work of a block of
-nodes is one task, which gets every vector it needs once; its memory is bounded
-by LOCAL_BLOCK * (DEGREE + REVERSE) vectors in the graph's rounds, and by
-TASK_VECTORS in the search, whatever the number of rows.
-
-A query starts at its own node and repeatedly expands its ``beam`` nearest nodes
-so far to all their neighbours, until its beam gains no node. The result is ranked by the exact inner product,
-in double precision, of the original vectors.
+unless both were so compared before, and what beats a node's worst neighbour is
+passed on. Rounds end when hardly any edge is new. A task holds one block, for
+which it gets every vector once: at most BLOCK * (DEGREE + REVERSE) vectors,
+whatever the number of rows, and nothing depends on the number of cores.
+
+A query starts at its own node and expands the nodes of its beam, the BEAM
+nearest that were seen, until all of them are expanded. The nearest of the beam
+are ranked by the exact inner product, in double precision, of the original
+vectors.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,21 +29,25 @@ from .staging import Stage
 DEGREE = 32
 REVERSE = 32
 #: Rounds end when at most this share of all edges is new.
-CHANGED = 0.001
-#: Beams of the first steps; the last one is that of all further steps.
-BEAMS = (128, 256, 384)
-#: A node must be nearer than one of the beam by this share to replace it, so that ties end.
-NEARER = 1e-9
-START_BLOCK = 2048
-LOCAL_BLOCK = 8192
+CHANGED = 0.01
+START_BLOCK = 256
+BLOCK = 4096
+#: Best partners that each comparison around one node passes on per node.
+PASSED = 4
+BEAM = 192
 QUERY_BLOCK = 512
 #: Vectors that a task of the search may need at most, which bounds the queries it takes.
 TASK_VECTORS = 500_000
-#: Best partners that each comparison around one node passes on per node, and a block in all.
-PASSED = 8
-KEPT = 64
+#: Signs in the order of the nodes.
+SIGNS = 16
+
+_EDGES = "b long, old int, u binary, c binary, s binary, f binary"
+_AROUND = "b long, ends binary, near binary, new binary, least binary"
+_STATE = "qb long, idx long, vec binary, near binary, sim binary, todo binary"
+
 
-_EDGE = "node long, nbr long, sim float"
+def _blob(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -52,107 +55,269 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
 
 
-def _edges(node, nbr, sim) -> pa.Table:
-    return pa.table({"node": pa.array(node, pa.int64()), "nbr": pa.array(nbr, pa.int64()), "sim": pa.array(sim, pa.float32())})
+def _packed_edges(u: np.ndarray, c: np.ndarray, s: np.ndarray, f: np.ndarray) -> pa.Table:
+    """Edges of any nodes as one row for each block that they start in."""
+    order = np.argsort(u // BLOCK, kind="stable")
+    u, c, s, f = u[order], c[order], s[order], f[order]
+    block = u // BLOCK
+    at = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    parts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    blobs = [pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in ((u % BLOCK).astype(np.int32), c.astype(np.int64), s.astype(np.float32), f.astype(np.int8))]
+    return pa.table([pa.array(block[at[:-1]], pa.int64()), pa.array([0] * len(parts), pa.int32()), *blobs], ["b", "old", "u", "c", "s", "f"])
+
+
+def _unpacked_edges(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Node within its block, partner, similarity, flag, and whether the row is the graph's own."""
+    u, c, s, f = (_blob(table[n], k) for n, k in (("u", np.int32), ("c", np.int64), ("s", np.float32), ("f", np.int8)))
+    own = [np.full(len(x), old > 0) for x, old in zip(u, table["old"].to_pylist(), strict=True)]
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (u, c, s, f, own))
 
 
-def _block_start(degree: int):
-    """The ``degree`` nearest of each node within a block."""
+def _first_edges(degree: int):
+    """The nearest ``degree`` of each node within its group of a few."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, x = np.array(table["node"]), _matrix(table["vec"])
-        k = min(degree, len(ids) - 1)
-        if k < 1:
-            return _edges([], [], [])
-        out = []
-        for a in range(0, len(ids), 512):
-            s = x[a : a + 512] @ x.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            out.append((np.repeat(ids[a : a + 512], k), ids[at].ravel(), np.take_along_axis(s, at, axis=1).ravel()))
-        return _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        idx, sub, x = np.array(table["idx"]), np.array(table["sub"]), _matrix(table["vec"])
+        order = np.lexsort((idx, sub))
+        idx, sub, x = idx[order], sub[order], x[order]
+        at = np.flatnonzero(np.diff(sub, prepend=-1, append=-1))
+        us, cs, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            k = min(degree, b - a - 1)
+            if k < 1:
+                continue
+            s = x[a:b] @ x[a:b].T
+            np.fill_diagonal(s, -np.inf)
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            us.append(np.repeat(idx[a:b], k))
+            cs.append(idx[a:b][best].ravel())
+            ss.append(np.take_along_axis(s, best, axis=1).ravel())
+        u, c, s = np.concatenate(us), np.concatenate(cs), np.concatenate(ss)
+        return _packed_edges(u, c, s, np.ones(len(u), np.int8))
+
+    return run
+
+
+def _merged(degree: int):
+    """A block's edges after those found are added: the nearest ``degree`` of each node."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["b"][0].as_py()
+        u, c, s, f, own = _unpacked_edges(table)
+        f = np.where(own, 0, 1)  # what was there has been compared with all others
+        order = np.lexsort((f, c, u))
+        u, c, s, f = u[order], c[order], s[order], f[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (c[1:] != c[:-1])
+        u, c, s, f = u[new], c[new], s[new], f[new]
+        order = np.lexsort((c, -s, u))
+        u, c, s, f = u[order], c[order], s[order], f[order]
+        top = np.arange(len(u)) - np.searchsorted(u, u) < degree
+        u, c, s, f = u[top], c[top], s[top], f[top]
+        out = _packed_edges(block * BLOCK + u.astype(np.int64), c, s, f)
+        out = out.set_column(1, "old", pa.array([1] * out.num_rows, pa.int32()))
+        return out.append_column("fresh", pa.array([int(f.sum())] * out.num_rows, pa.int64())).append_column("edges", pa.array([len(f)] * out.num_rows, pa.int64()))
 
     return run
 
 
+def _reversed(batches):
+    """Every edge from its other end."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            u, c, s, f, _ = _unpacked_edges(row)
+            yield from _packed_edges(c, row["b"][0].as_py() * BLOCK + u.astype(np.int64), s, f).to_batches()
+
+
+def _around(degree: int, reverse: int):
+    """For each node of a block: its neighbours, the nearest that it is a neighbour of, and its worst similarity."""
+
+    def run(table: pa.Table) -> pa.Table:
+        u, c, s, f, own = _unpacked_edges(table)
+        n = int(u.max()) + 1 if len(u) else 0
+        count = np.bincount(u[own], minlength=n)
+        least = np.full(n, np.inf, np.float32)
+        np.minimum.at(least, u[own], s[own])
+        least[count < degree] = -np.inf
+        order = np.lexsort((c, -s, u, own))
+        u, c, f, own = u[order], c[order], f[order], own[order]
+        back = int((~own).sum())
+        rank = np.arange(back) - np.searchsorted(u[:back], u[:back])
+        keep = np.concatenate([rank < reverse, np.ones(len(u) - back, bool)])
+        u, c, f = u[keep], c[keep], f[keep]
+        order = np.lexsort((-f, c, u))
+        u, c, f = u[order], c[order], f[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (c[1:] != c[:-1])
+        u, c, f = u[new], c[new], f[new]
+        ends = np.searchsorted(u, np.arange(n + 1)).astype(np.int64)
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (ends, c, f.astype(np.int8), least)]
+        return pa.table([pa.array([table["b"][0].as_py()], pa.int64()), *blobs], ["b", "ends", "near", "new", "least"])
+
+    return run
+
+
+def _lists(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(row[n][0].as_py(), k) for n, k in (("ends", np.int64), ("near", np.int64), ("new", np.int8), ("least", np.float32)))
+
+
+def _wanted(batches):
+    """(wb, idx): the nodes that a block needs, those around its nodes that have anything new around them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            ends, near, new, _ = _lists(row)
+            active = np.add.reduceat(np.append(new, 0).astype(np.int64), ends[:-1]) * (np.diff(ends) > 0) if len(ends) > 1 else np.zeros(0)
+            need = np.unique(near[np.repeat(active > 0, np.diff(ends))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), row["b"][0].as_py()), pa.int64()), pa.array(need, pa.int64())], ["wb", "idx"])
+
+
+def _flat_least(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            least = _lists(row)[3]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(least)) + row["b"][0].as_py() * BLOCK, pa.int64()), pa.array(least)], ["lidx", "least"])
+
+
+def _flat_near(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            ends, near, _, _ = _lists(row)
+            blobs = pa.array([near[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs)) + row["b"][0].as_py() * BLOCK, pa.int64()), blobs], ["idx", "near"])
+
+
 def _local_join(passed: int, degree: int):
     """Around each node of a block, its members' best partners that beat their worst neighbour."""
 
     def run(around: pa.Table, members: pa.Table) -> pa.Table:
-        if not around.num_rows:
-            return _edges([], [], [])
-        ids = np.array(members["node"])
-        order = np.argsort(ids)
-        ids, x, least = ids[order], _matrix(members["vec"])[order], np.array(members["least"])[order]
-        offsets = np.array(around["near"].combine_chunks().offsets if isinstance(around["near"], pa.ChunkedArray) else around["near"].offsets)
-        where = np.searchsorted(ids, np.array(around["near"].combine_chunks().flatten()))
-        offsets = offsets - offsets[0]
-        us, cs, ss = [], [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            at = where[a:b]
-            m = x[at]
-            s = m @ m.T
-            np.fill_diagonal(s, -np.inf)
-            k = min(passed, len(at) - 1)
-            if k < 1:
-                continue
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(s, best, axis=1)
-            i, j = np.nonzero(value > least[at][:, None])
-            us.append(at[i])
-            cs.append(at[best[i, j]])
-            ss.append(value[i, j])
-        if not us:
-            return _edges([], [], [])
+        none = np.zeros(0, np.int64)
+        if not around.num_rows or not members.num_rows:
+            return _packed_edges(none, none, none, none).drop_columns("old")
+        ends, near, new, _ = _lists(around)
+        idx = np.array(members["idx"])
+        order = np.argsort(idx)
+        idx, x, least = idx[order], _matrix(members["vec"])[order], np.array(members["least"])[order]
+        sizes = np.diff(ends)
+        active = np.flatnonzero(np.add.reduceat(np.append(new, 0).astype(np.int64), ends[:-1]) * (sizes > 0) > 0)
+        width = int(sizes[active].max(initial=0))
+        us, cs, ss = [none], [none], [np.zeros(0, np.float32)]
+        for a in range(0, len(active), 256):
+            v = active[a : a + 256]
+            at = ends[v][:, None] + np.arange(width)
+            there = np.arange(width) < sizes[v][:, None]
+            at = np.minimum(at, len(near) - 1)
+            m = np.minimum(np.searchsorted(idx, near[at]), len(idx) - 1)
+            fresh = (new[at] > 0) & there
+            part = x[m]
+            s = np.matmul(part, part.transpose(0, 2, 1))
+            s[~((fresh[:, :, None] | fresh[:, None, :]) & there[:, :, None] & there[:, None, :])] = -np.inf
+            s[:, np.arange(width), np.arange(width)] = -np.inf
+            s[s <= least[m][:, :, None]] = -np.inf
+            k = min(passed, width)
+            best = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
+            value = np.take_along_axis(s, best, axis=2)
+            i, j, l = np.nonzero(value > -np.inf)
+            us.append(m[i, j])
+            cs.append(m[i, best[i, j, l]])
+            ss.append(value[i, j, l])
         u, c, s = np.concatenate(us), np.concatenate(cs), np.concatenate(ss)
-        _, first = np.unique(u * len(ids) + c, return_index=True)
+        _, first = np.unique(u * len(idx) + c, return_index=True)
         u, c, s = u[first], c[first], s[first]
-        order = np.lexsort((-s, u))
+        order = np.lexsort((c, -s, u))
         u, c, s = u[order], c[order], s[order]
-        rank = np.arange(len(u)) - np.searchsorted(u, u)
-        top = rank < degree
-        return _edges(ids[u[top]], ids[c[top]], s[top])
+        top = np.arange(len(u)) - np.searchsorted(u, u) < degree
+        return _packed_edges(idx[u[top]], idx[c[top]], s[top], np.ones(int(top.sum()), np.int8)).drop_columns("old")
 
     return run
 
 
-def _expand(beam: int):
-    """One step of every query of a block: the ``beam`` nearest of its beam and the neighbours, and which are fresh."""
+def _expanded(beam: int):
+    """One step of every query of a block: all nodes of its beam that are to do are expanded."""
 
     def run(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids = np.array(vectors["node"])
-        order = np.argsort(ids)
-        ids, x = ids[order], _matrix(vectors["vec"])[order] if len(order) else np.zeros((0, 1), np.float32)
-        kind, node = np.array(lists["kind"]), np.array(lists["node"])
-        near = lists["near"].to_pylist()
-        adjacent = {int(node[i]): np.searchsorted(ids, near[i]) for i in np.flatnonzero(kind == 1)}
-        names, beams, fresh = [], [], []
-        for i in np.flatnonzero(kind == 0).tolist():
-            seen, had = np.zeros(len(ids), bool), np.searchsorted(ids, near[i])
-            seen[had] = True
-            for f in near[i]:
-                if f in adjacent:
-                    seen[adjacent[f]] = True
+        idx = np.array(vectors["idx"])
+        order = np.argsort(idx)
+        idx, x = idx[order], _matrix(vectors["vec"])[order] if len(order) else np.zeros((0, 1), np.float32)
+        kind, node = np.array(lists["kind"]), np.array(lists["idx"])
+        near = _blob(lists["near"], np.int64)
+        adjacent = {int(node[i]): np.searchsorted(idx, near[i]) for i in np.flatnonzero(kind == 1)}
+        rows = np.flatnonzero(kind == 0)
+        sims, todos, vecs = (lists[n].take(pa.array(rows)).to_pylist() for n in ("sim", "todo", "vec"))
+        out = []
+        for i, sim, todo, vec in zip(rows.tolist(), sims, todos, vecs, strict=True):
+            have, sim, todo = near[i], np.frombuffer(sim, np.float32), np.frombuffer(todo, np.int8)
+            seen = np.zeros(len(idx), bool)
+            for v in have[todo > 0].tolist():
+                seen[adjacent[v]] = True
+            where = np.searchsorted(idx, have)
+            where[where == len(idx)] = 0
+            seen[where[idx[where] == have] if len(idx) else where[:0]] = False
             at = np.flatnonzero(seen)
-            s = x[at].astype(np.float64) @ x[np.searchsorted(ids, node[i])].astype(np.float64)
-            if len(at) > beam:
-                s[np.isin(at, had)] += NEARER * np.abs(s).max()
-                at = at[np.argpartition(-s, beam - 1)[:beam]]
-            names.append(int(node[i]))
-            beams.append(np.union1d(ids[at], node[i : i + 1]).tolist())
-            fresh.append(np.setdiff1d(beams[-1], near[i]).tolist())
-        lists_of = pa.list_(pa.int64())
-        return pa.table({"node": pa.array(names, pa.int64()), "near": pa.array(beams, lists_of), "fresh": pa.array(fresh, lists_of)})
+            new = x[at] @ np.frombuffer(vec, np.float32)
+            have, sim = np.concatenate([have, idx[at]]), np.concatenate([sim, new])
+            todo = np.concatenate([np.zeros(len(todo), np.int8), np.ones(len(at), np.int8)])
+            order = np.lexsort((have, -sim))[:beam]
+            out.append((have[order].tobytes(), sim[order].tobytes(), todo[order].tobytes()))
+        near, sim, todo = zip(*out, strict=True) if out else ((), (), ())
+        blobs = [pa.array(list(c), pa.binary()) for c in (vecs, near, sim, todo)]
+        block = lists["qb"].take(pa.array(rows)).cast(pa.int64())
+        return pa.table([block, pa.array(node[rows], pa.int64()), *blobs], ["qb", "idx", "vec", "near", "sim", "todo"])
+
+    return run
+
+
+def _begun(batches):
+    """Each query's beam before the first step: its own node, to be expanded."""
+    for batch in batches:
+        idx, vec = np.array(batch.column("idx")), batch.column("vec")
+        x = _matrix(vec) if len(idx) else np.zeros((0, 1), np.float32)
+        blobs = [pa.array([r.tobytes() for r in c], pa.binary()) for c in (idx.astype(np.int64), (x * x).sum(axis=1), np.ones(len(idx), np.int8))]
+        yield pa.RecordBatch.from_arrays([batch.column("qb"), batch.column("idx"), vec, *blobs], ["qb", "idx", "vec", "near", "sim", "todo"])
+
+
+def _fringe(column: str, only_todo: bool):
+    """(qb, idx) of the nodes in a packed column, once for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            near = _blob(batch.column(column), np.int64)
+            if only_todo:
+                near = [x[t > 0] for x, t in zip(near, _blob(batch.column("todo"), np.int8), strict=True)]
+            block = np.repeat(np.array(batch.column("qb")), [len(x) for x in near])
+            pairs = np.unique(np.stack([block, np.concatenate(near)]), axis=1) if len(block) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["qb", "idx"])
+
+    return run
+
+
+def _nearest_of(count: int):
+    def run(batches):
+        for batch in batches:
+            near = [x[:count] for x in _blob(batch.column("near"), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column("idx")), [len(x) for x in near]), pa.int64()), pa.array(np.concatenate([*near, np.zeros(0, np.int64)]), pa.int64())], ["start", "cand"])
 
     return run
 
 
+def _with_signs(batches):
+    for batch in batches:
+        v = batch.column("v")
+        x = np.asarray(v.flatten()).reshape(len(v), -1).astype(np.float32)
+        plane = np.random.default_rng(17).standard_normal((x.shape[1], SIGNS)).astype(np.float32)
+        code = ((x @ plane) > 0) @ (1 << np.arange(SIGNS - 1, -1, -1))
+        yield pa.RecordBatch.from_arrays([v, pa.array([r.tobytes() for r in x], pa.binary()), pa.array(code, pa.int64())], ["v", "vec", "code"])
+
+
 class Index:
     """A neighbour graph over the vectors of ``table``.
 
     A vector that is null, empty, zero, or holds a null or non-finite component
-    takes no part, nor does a null id. Of several rows with one id the smallest
-    vector counts; vectors not of the most frequent length take no part.
+    takes no part, nor does a null id; vectors not of the most frequent length
+    take no part. Every row is an entry of its own, rows that share an id too.
     """
 
     def __init__(self, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, degree: int = DEGREE, changed: float = CHANGED):
@@ -161,113 +326,119 @@ class Index:
         rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite & F.exists("v", lambda x: x != 0))
-        rows = stage.write(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "rows")
         usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
         self.rows = rows.filter(F.size("v") == (usual[0].d if usual else 0))
-        same = Window.partitionBy("v").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = self.rows.select("vec_id", "v", F.row_number().over(Window.partitionBy("v").orderBy("vec_id")).alias("r"), F.first("vec_id").over(same).alias("node"))
-        self.members = stage.write(ranked.filter(F.col("r") <= k + 1), "members")
-        self.nodes = self.members.filter("r = 1").select("node", "v")
-        self.vectors = stage.write(self.nodes.mapInArrow(_packed, "node long, vec binary"), "vectors")
-        self.size = self.vectors.count()
-        self.graph = self._start()
-        if self.size > START_BLOCK:
-            fresh, edges = 1, 0
-            while fresh > changed * edges:
-                self.graph, fresh, edges = self._round(self.graph)
-        self.near = stage.write(self._near(self.graph), "near")
-
-    def _start(self) -> DataFrame:
-        blocks = max(1, -(-self.size // START_BLOCK))
-        times = 1 if blocks == 1 else 2
-        out = None
-        for t in range(times):
-            block = F.pmod(F.xxhash64("node", F.lit(t)), F.lit(blocks))
-            found = self.vectors.groupBy(block.alias("b")).applyInArrow(_block_start(self.degree // times), _EDGE)
-            out = found if out is None else out.unionByName(found)
-        return self.stage.write(self._best(out.withColumn("fresh", F.lit(1))), "graph")
-
-    def _best(self, edges: DataFrame) -> DataFrame:
-        one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-        order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
-        return one.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= self.degree).drop("r")
-
-    def _near(self, graph: DataFrame) -> DataFrame:
-        """(node, near): a node's neighbours and the nearest nodes that it is a neighbour of."""
-        order = Window.partitionBy("node").orderBy(F.desc("sim"), "nbr")
-        back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
-        back = back.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
-        return graph.select("node", "nbr").union(back.select("node", "nbr")).groupBy("node").agg(F.collect_set("nbr").alias("near"))
-
-    def _round(self, graph: DataFrame) -> tuple[DataFrame, int, int]:
-        """The graph after a round, how many of its edges are new, and how many it has."""
-        blocks = self._blocks(self.size, LOCAL_BLOCK)
-        around = self.stage.write(self._near(graph).withColumn("b", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(blocks)).cast("int")), "around")
-        worst = graph.groupBy("node").agg(F.when(F.count("*") >= self.degree, F.min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        who = around.select(F.col("b").alias("mb"), F.explode("near").alias("node")).distinct()
-        carried = self.vectors.join(worst, "node", "left").select("node", "vec", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-        members = who.join(carried, "node")
-        found = around.select("b", "near").groupBy("b").cogroup(members.select("mb", "node", "vec", "least").groupBy("mb")).applyInArrow(_local_join(PASSED, self.degree), _EDGE)
-        both = graph.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1)))
-        out = self.stage.write(self._best(both), "graph")
-        self.stage.drop(around, graph)
-        return out, *out.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.count("*")).first()
-
-    def _blocks(self, rows: int, most: int) -> int:
-        """Blocks of at most about ``most`` rows, and enough to occupy all cores."""
-        return max(1, -(-rows // most), min(rows, self.spark.sparkContext.defaultParallelism))
-
-    def search(self, queries: DataFrame, beams: tuple[int, ...] = BEAMS) -> DataFrame:
-        """(query_id, rank, vec_id, score) for the rows of the index whose ids are in ``queries.query_id``."""
-        k, stage = self.k, self.stage
-        ask = self.rows.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-        own = self.nodes.select("node", F.col("v").alias("nv"))
-        ask = stage.write(ask.join(own, ask.v == own.nv).select(F.col("vec_id").alias("query_id"), "v", "node"), "ask")
-        starts = ask.select("node").distinct()
-        most = QUERY_BLOCK if self.size <= TASK_VECTORS else max(1, TASK_VECTORS // (max(beams) * (self.degree + REVERSE)))
-        block = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(self._blocks(starts.count(), most))).cast("int")
-        beam = starts.join(self.near, "node", "left").select("node", F.array_union(F.array("node"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"), block.alias("b"))
-        beam = stage.write(beam.withColumn("fresh", F.col("near")), "beam")
-        ended, step, left = [], 0, 1
-        while step < len(beams) or left:
-            width = beams[min(step, len(beams) - 1)]
-            # While beams grow, all their nodes are expanded, since what a smaller one had no room for counts again.
-            fringe = beam.select("b", F.explode("near" if step < len(beams) else "fresh").alias("node")).distinct()
-            lists = stage.write(fringe.join(self.near, "node", "left").select("b", "node", F.coalesce("near", F.array("node")).alias("near")), "lists")
-            asked = beam.select("b", "near").union(lists.select("b", "near"))
-            wanted = asked.select(F.col("b").alias("vb"), F.explode("near").alias("node")).distinct()
-            vectors = wanted.join(self.vectors, "node").select("vb", "node", "vec")
-            both = beam.select("b", F.lit(0).alias("kind"), "node", "near").union(lists.select("b", F.lit(1), "node", "near"))
-            stepped = both.groupBy("b").cogroup(vectors.groupBy("vb")).applyInArrow(_expand(width), "node long, near array<long>, fresh array<long>")
-            after = stage.write(stepped.withColumn("b", block), "beam")
+        # A node keeps its k + 1 smallest ids, which is all that any list of k can hold.
+        place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        members = stage.write(self.rows.withColumn("r", place).filter(F.col("r") <= k + 1), "members")
+        nodes = members.filter("r = 1").select("v").mapInArrow(_with_signs, "v array<double>, vec binary, code long")
+        self.nodes, self.size = self._numbered(nodes, "nodes", "code", "v")
+        self.vectors = stage.write(self.nodes.select("idx", "vec"), "vectors")
+        own = members.join(self.nodes.select("v", "idx"), "v").select("idx", "vec_id", "r")
+        self.members = stage.write(own.withColumn("copy", F.row_number().over(Window.partitionBy("idx", "vec_id").orderBy("r"))).drop("r"), "members")
+        stage.drop(members)
+        self.rounds = 0
+        graph, fresh, edges = self._start()
+        around = self._gathered(graph)
+        while fresh > changed * edges:
+            graph, fresh, edges = self._round(graph, around)
+            around = self._gathered(graph)
+            self.rounds += 1
+        self.near = stage.write(around.mapInArrow(_flat_near, "idx long, near binary"), "near")
+
+    def _numbered(self, df: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+        """The rows with their place ``idx`` in an order, and how many there are; one number per task comes back."""
+        sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        written = self.stage.write(sorted_.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
+        sizes = sorted((r.part, r.n) for r in written.groupBy("part").agg(F.count("*").alias("n")).collect())
+        bases, total = [], 0
+        for part, n in sizes:
+            bases.append((part, total))
+            total += n
+        bases = self.spark.createDataFrame(bases, "part int, base long")
+        return written.join(F.broadcast(bases), "part").withColumn("idx", F.col("at") + F.col("base")).drop("part", "at", "base"), total
+
+    def _start(self) -> tuple[DataFrame, int, int]:
+        """The first edges, from two divisions of the nodes into small groups."""
+        per = BLOCK // START_BLOCK
+        buckets = per * max(1, -(-self.size // BLOCK))
+        near = self.vectors.select(F.lit(0).alias("way"), F.floor(F.col("idx") / BLOCK).alias("key"), F.floor(F.col("idx") / START_BLOCK).alias("sub"), "idx", "vec")
+        sub = F.pmod(F.xxhash64("idx"), F.lit(buckets))
+        mixed = self.vectors.select(F.lit(1).alias("way"), F.floor(sub / per).alias("key"), sub.alias("sub"), "idx", "vec")
+        found = near.unionByName(mixed).groupBy("way", "key").applyInArrow(_first_edges(self.degree // 2), _EDGES)
+        return self._graph(found)
+
+    def _graph(self, edges: DataFrame) -> tuple[DataFrame, int, int]:
+        """The graph of packed edges, how many of its edges are new, and how many it has."""
+        out = self.stage.write(edges.groupBy("b").applyInArrow(_merged(self.degree), f"{_EDGES}, fresh long, edges long"), "graph")
+        fresh, edges = out.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0))).first()
+        return out.drop("fresh", "edges"), fresh, edges
+
+    def _gathered(self, graph: DataFrame) -> DataFrame:
+        rows = graph.unionByName(graph.mapInArrow(_reversed, _EDGES))
+        return self.stage.write(rows.groupBy("b").applyInArrow(_around(self.degree, REVERSE), _AROUND), "around")
+
+    def _round(self, graph: DataFrame, around: DataFrame) -> tuple[DataFrame, int, int]:
+        least = around.mapInArrow(_flat_least, "lidx long, least float")
+        carried = self.vectors.join(least, F.col("idx") == F.col("lidx"), "left").select("idx", "vec", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+        members = around.mapInArrow(_wanted, "wb long, idx long").join(carried, "idx").select("wb", "idx", "vec", "least")
+        found = around.groupBy("b").cogroup(members.groupBy("wb")).applyInArrow(_local_join(PASSED, self.degree), "b long, u binary, c binary, s binary, f binary")
+        return self._graph(graph.unionByName(found.withColumn("old", F.lit(0)).select("b", "old", "u", "c", "s", "f")))
+
+    def _beams(self, ask: DataFrame, beam: int) -> DataFrame:
+        """(idx, near, ...) of every node that is asked for, once all nodes of its beam are expanded."""
+        stage = self.stage
+        starts, count = self._numbered(ask.select(F.col("idx").alias("start")).distinct(), "starts", "start")
+        most = QUERY_BLOCK if self.size <= TASK_VECTORS else max(1, TASK_VECTORS // (beam * (self.degree + REVERSE)))
+        starts = starts.select(F.col("start").alias("idx"), F.floor(F.col("idx") / most).alias("qb"))
+        state = stage.write(starts.join(self.vectors, "idx").select("qb", "idx", "vec").mapInArrow(_begun, _STATE), "beam")
+        ended, left = None, count
+        while left:
+            fringe = state.select("qb", "near", "todo").mapInArrow(_fringe("near", True), "qb long, idx long").distinct()
+            lists = stage.write(fringe.join(self.near, "idx").select("qb", "idx", "near"), "lists")
+            wanted = lists.select("qb", "near").mapInArrow(_fringe("near", False), "qb long, idx long").distinct()
+            vectors = wanted.join(self.vectors, "idx").select(F.col("qb").alias("vb"), "idx", "vec")
+            none = F.lit(None).cast("binary")
+            both = state.select(F.lit(0).alias("kind"), "*").unionByName(lists.select(F.lit(1).alias("kind"), "qb", "idx", none.alias("vec"), "near", none.alias("sim"), none.alias("todo")))
+            after = stage.write(both.groupBy("qb").cogroup(vectors.groupBy("vb")).applyInArrow(_expanded(beam), _STATE), "beam")
             stage.drop(lists)
-            step += 1
-            if step < len(beams):
-                beam = after
-                continue
-            ended.append(after.filter(F.size("fresh") == 0).select("node", "near"))
-            beam = after.filter(F.size("fresh") > 0)
-            left = beam.count()
-        beam = reduce(DataFrame.union, ended)
-        found = ask.join(beam.select("node", F.explode("near").alias("cand")), "node").select("query_id", F.col("v").alias("qv"), "cand")
-        cands = self.nodes.select(F.col("node").alias("cand"), "v")
-        product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        scored = found.join(cands, "cand").select("query_id", "cand", product.alias("score"))
-        near = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand")
-        scored = scored.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).drop("r")
-        ids = self.members.select(F.col("node").alias("cand"), "vec_id")
-        full = scored.join(ids, "cand").filter("vec_id != query_id")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            open_ = F.instr(F.hex("todo"), "01") > 0
+            done = after.filter(~open_)
+            ended = done if ended is None else ended.unionByName(done)
+            state = after.filter(open_)
+            left = state.count()
+        return state if ended is None else ended
+
+    def search(self, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+        """(query_id, rank, vec_id, score) for the rows of the index whose ids are in ``queries.query_id``.
+
+        An id of several rows is asked once for each of its different vectors.
+        """
+        k, stage = self.k, self.stage
+        ask = self.rows.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").distinct()
+        ask = stage.write(ask.join(self.nodes.select("v", "idx"), "v").select(F.col("vec_id").alias("query_id"), "idx"), "ask")
+        # Similarities in single precision decide on twice the nodes that are wanted, the exact product on their order.
+        pairs = self._beams(ask, max(beam, 2 * (k + 1))).mapInArrow(_nearest_of(2 * (k + 1)), "start long, cand long")
+        one = self.nodes.select(F.col("idx").alias("start"), F.col("v").alias("sv"))
+        other = self.nodes.select(F.col("idx").alias("cand"), "v")
+        product = F.aggregate(F.zip_with("sv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        scored = pairs.join(one, "start").join(other, "cand").select("start", "cand", product.alias("score"))
+        best = Window.partitionBy("start").orderBy(F.desc("score"), "vec_id")
+        rows = scored.join(self.members.withColumnRenamed("idx", "cand"), "cand").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+        rows = stage.write(rows.select("start", "cand", "vec_id", "copy", "score"), "nearest")
+        # Of equal rows with one id, one is the query's own.
+        full = ask.join(rows, ask.idx == rows.start).filter((F.col("vec_id") != F.col("query_id")) | (F.col("cand") != F.col("idx")) | (F.col("copy") > 1))
+        order = Window.partitionBy("query_id", "idx").orderBy(F.desc("score"), "vec_id")
         return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _packed(batches):
-    for batch in batches:
-        vec = [np.asarray(v, np.float32).tobytes() for v in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(vec, pa.binary())], ["node", "vec"])
-
-
 def nearest(table: DataFrame, every: int, k: int = 20) -> DataFrame:
-    """The k nearest other rows, by inner product, of every row whose id is divisible by ``every``."""
+    """The k nearest other rows, by inner product, of every row whose id is divisible by ``every``.
+
+    Rows without id or without a usable vector (null, empty, zero, null or
+    non-finite components) neither ask nor answer. Rows that share an id each
+    answer, and each different vector of a query's id is asked. Columns other
+    than the two are not looked at; an empty table gives no rows.
+    """
     index = Index(table, k=k)
     return index.search(index.rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id")))

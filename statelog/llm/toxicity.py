@@ -38,8 +38,8 @@ from .staging import Stage
 from .textops import PUNCTUATION, SEPARATORS, Words, hash_ngrams, hash_words, mix64, slices, text_bytes
 
 #: Bounds of the labelled rows that the model is fitted on: in all, and of toxic ones.
-SAMPLE = 16_000
-TOXIC_SAMPLE = 4_000
+SAMPLE = 12_000
+TOXIC_SAMPLE = 3_000
 PREFIXES = (4, 5, 6, 7, 8)
 STRENGTH = 10.0
 DRIFT = 1.0

@@ -174,39 +174,55 @@ def test_neighbours_with_ties(spark):
     assert ann.nearest(table.limit(0), 20).count() == 0
 
 
-def test_recall_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "START_BLOCK", 128)
-    monkeypatch.setattr(ann, "LOCAL_BLOCK", 256)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+def test_recall_over_many_blocks(spark):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(1500, 24))
+    x = rng.normal(size=(2 * ann.BLOCK + 900, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index = ann.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20)
+    assert index.rounds >= 3
     got: dict[int, set] = {}
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect():
+    for r in index.search(spark.range(0, len(rows), 100).withColumnRenamed("id", "query_id")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::100] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 100)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[100 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) > 0.95
+
+
+def test_recall_on_the_embeddings(spark, data):
+    """Also tables of one block are searched by rounds over small first groups."""
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    index = ann.Index(table, k=20)
+    assert index.rounds >= 1 and index.size > ann.START_BLOCK
+    got: dict[int, set] = {}
+    for r in index.search(index.rows.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id")).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = exact(rows, 20, 20)
-    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) > 0.9
-
-
-def test_rounds_and_steps_go_on_until_nothing_changes(spark, monkeypatch):
-    monkeypatch.setattr(ann, "START_BLOCK", 16)
-    monkeypatch.setattr(ann, "REVERSE", 4)
-    rng = np.random.default_rng(7)
-    turn = rng.permutation(1500) * 2 * np.pi / 1500
-    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(turn)]
-    index = ann.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, degree=6)
-    lists: dict[int, set] = {}
-    for r in index.graph.collect():
-        lists.setdefault(r.node, set()).add(r.nbr)
-    want = exact(rows, 1, 4)
-    assert np.mean([len(lists[q] & {i for i, _ in want[q]}) / 4 for q in want]) > 0.82  # four rounds reach 0.75
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) > 0.95
+
+
+def test_steps_go_on_until_nothing_changes(spark):
     # A path that starts at the far end of a line of nodes takes many steps.
-    near = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 12]) for i in range(12)], "node long, near array<long>")
-    line = ann.Index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "vec_id long, embedding array<double>"), k=4)
-    line.near = near
-    found = line.search(spark.createDataFrame([(1,)], "query_id long"), beams=(4, 6)).orderBy("rank").collect()
-    assert [r.vec_id for r in found] == [11, 10, 9, 8]
+    line = ann.Index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>"), k=4)
+    at = {int(r.v[1]): r.idx for r in line.nodes.collect()}
+    near = [(at[i], np.array([at[j] for j in (i - 1, i + 1) if 0 <= j < 30], np.int64).tobytes()) for i in range(30)]
+    line.near = spark.createDataFrame([(i, bytearray(b)) for i, b in near], "idx long, near binary")
+    found = line.search(spark.createDataFrame([(1,)], "query_id long"), beam=12).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [29, 28, 27, 26]
+
+
+def test_rows_that_share_an_id(spark):
+    kinds = "vec_id long, embedding array<double>, rank int, score double, idx long, node long, r int, v array<double>"
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (1, [0.9, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0])]
+    got = ann.nearest(spark.createDataFrame([(*r, 0, 0.0, 0, 0, 0, [0.0]) for r in rows], kinds), 20, k=3).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        lists.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert lists[0] == [(1, 0.9), (1, 0.9), (1, 0.5)]
+    # The other equal row of id 20 answers, the query's own doesn't: once for each of its two vectors.
+    assert sorted(lists[20]) == sorted([(20, 2.0), (20, 2.0), (0, 0.0), (20, 4.0), (20, 2.0), (0, 0.0)])
 
 
 def test_pipeline(spark, data):
