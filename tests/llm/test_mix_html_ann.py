@@ -109,6 +109,59 @@ def test_names_that_speak_of_others():
     assert html.extract(page, None) == "x"
 
 
+def texts_of(spark, *pages):
+    rows = [(i, "http://h.example/x", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_headings_and_names_within_an_article(spark):
+    page = lambda i: (
+        f'<body><article><header class="entry-header"><h1>Title {i}</h1></header><div class="article-notice-board"><p>News {i} of the board</p></div>'
+        f'<div class="social-history"><p>How people lived in {1500 + i}</p></div><div class="newsletter-note"><p>Read our daily letter</p></div><div class="share-buttons"><p>Share {i}</p></div><p>The end</p></article></body>'
+    )
+    want = [f"Title {i}\n\nNews {i} of the board\n\nHow people lived in {1500 + i}\n\nThe end" for i in range(6)]
+    assert texts_of(spark, *[page(i) for i in range(6)]) == want
+    # A page alone can't tell the notice from content.
+    assert html.extract(page(0), None) == want[0].replace("\n\nThe end", "\n\nRead our daily letter\n\nThe end")
+    assert html.extract('<article><div class="post-header"><h1>Title</h1></div><p>Text</p></article>', None) == "Title\n\nText"
+
+
+def test_all_articles_stay(spark):
+    page = lambda i: f"<body><nav>Menu</nav><main><article><p>First {i}</p></article><article><p>A second one {i}</p></article></main><aside><article>Teaser</article></aside></body>"
+    assert texts_of(spark, *[page(i) for i in range(3)]) == [f"First {i}\n\nA second one {i}" for i in range(3)]
+
+
+def test_article_elements_that_are_teasers(spark):
+    page = lambda i: f"<body><section><article><p>Hot {i}</p></article></section><div><p>Story {i} is told at length in this place, as {i * 7} people know by now</p><p>Read our daily letter</p></div></body>"
+    assert texts_of(spark, *[page(i) for i in range(4)]) == [f"Story {i} is told at length in this place, as {i * 7} people know by now" for i in range(4)]
+
+
+def test_hosts_of_few_pages_and_copies(spark):
+    page = lambda i: f"<body><div><p>Welcome</p></div><div><p>Story {i} begins</p></div></body>"
+    assert texts_of(spark, page(1), page(2)) == ["Story 1 begins", "Story 2 begins"]
+    assert texts_of(spark, page(1)) == ["Welcome\n\nStory 1 begins"]
+    assert texts_of(spark, page(1), page(1)) == ["Welcome\n\nStory 1 begins"] * 2
+
+
+def test_bounded_templates(monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    trees = []
+    for i in range(400):
+        odd = "".join(f'<div class="c{draw.randrange(10**9)}"><p>x</p></div>' for _ in range(30))
+        trees.append(html.folded(*html.parse(f"<body><div class=menu>Home</div>{odd}<p>Story {i}</p></body>")))
+    template = trees[0]
+    for t in trees[1:]:
+        html.merged(template, t)
+    assert html.nodes_in(template) < html.MOST_NODES + 16 * 70
+    assert html.Wrapper(template).any_constant and template[1] == 400
+    monkeypatch.setattr(html, "MOST_PAIRS", 0)
+    one, two = (html.folded(*html.parse("<body>" + "".join(f"<{t}>{t}</{t}>" for t in tags) + "</body>")) for tags in (["h2", "p", "div", "p"], ["p", "div", "section", "p"]))
+    assert html.match(one[4][0], two[4][0], {}) == (4, [(1, 0), (2, 1), (3, 3)])
+
+
 def test_template_merge_counts():
     trees = [html.folded(*html.parse(f"<body><div class=a>x{i % 2}</div><p>{i}</p></body>")) for i in range(6)]
     for t in trees[1:]:
