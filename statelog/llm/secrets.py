@@ -13,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: A segment starts with a brace, alone or after blanks, in base64; decoding decides.
 _OBJECT = r"(?:e[w-z0-3]|C[QSXgin]|D[QSX]|I[ACH])[A-Za-z0-9_-]+"
 _JWT = re.compile(rf"(?<![A-Za-z0-9_.-])({_OBJECT})\.({_OBJECT})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----")
+_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*")
 _ESCAPE = re.compile(r"\\+[nr]")
+_LOCK = re.compile(r"^DEK-Info: *([A-Z0-9-]+), *([0-9A-Fa-f]+) *$", re.M)
+#: Ciphers of locked keys and the bytes of their blocks, which are those of their start vectors.
+_CIPHERS = {
+    "DES-CBC": 8, "DES-EDE3-CBC": 8, "RC2-CBC": 8, "IDEA-CBC": 8, "BF-CBC": 8,
+    "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "CAMELLIA-128-CBC": 16, "CAMELLIA-192-CBC": 16, "CAMELLIA-256-CBC": 16, "SEED-CBC": 16,
+}
 _RUN = re.compile(r"(?<![A-Za-z0-9+_-])(?=M[A-Za-z0-9]|b3BlbnNza)[A-Za-z0-9+/_-]{56,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
 
@@ -123,6 +131,33 @@ def is_private_key(data: bytes | None) -> bool:
     return False
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of the blocks between a BEGIN line and its END, in linear time.
+
+    A body holds no five dashes, so the next ones decide whether it is closed.
+    """
+    at = 0
+    while m := _BEGIN.search(text, at):
+        stop = text.find("-----", m.end())
+        if stop < 0:
+            return
+        while text.startswith("-", stop + 5) and text.startswith("-----", stop + 1):
+            stop += 1
+        end = f"-----END {m[1]}-----"
+        if text.startswith(end, stop) and _BODY.fullmatch(text, m.end(), stop):
+            yield m.start(), stop + len(end), text[m.end() : stop]
+            at = stop + len(end)
+        else:
+            at = stop
+
+
+def is_locked_key(head: str, data: bytes | None) -> bool:
+    """Whether a block's head names a known cipher with a start vector of its size, and the data are whole cipher blocks."""
+    lock = _LOCK.search(head)
+    size = _CIPHERS.get(lock[1], 0) if lock else 0
+    return "Proc-Type: 4,ENCRYPTED" in head and bool(size) and len(lock[2]) == 2 * size and bool(data) and len(data) >= 32 and len(data) % size == 0
+
+
 def is_signed_token(header: str, payload: str) -> bool:
     """Whether both segments decode to JSON objects and the header names an algorithm."""
     try:
@@ -142,15 +177,19 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     out += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in _ESCAPE.sub("\n", m[2]).splitlines() if ":" not in x]
-            body = decode_base64("".join(lines))
-            locked = "Proc-Type: 4,ENCRYPTED" in m[2] and bool(body)
-            if locked or is_private_key(body):
-                out.append((m.start(), m.end(), 4))
-    taken = [(a, b) for a, b, k in out if k == 4]
-    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken)
+        for start, end, body in key_blocks(text):
+            lines = _ESCAPE.sub("\n", body).splitlines()
+            data = decode_base64("".join(x for x in lines if ":" not in x))
+            if is_private_key(data) or is_locked_key("\n".join(x for x in lines if ":" in x), data):
+                taken.append((start, end))
+                out.append((start, end, 4))
+
+    def free(m: re.Match) -> bool:
+        i = bisect_right(taken, (m.start(), len(text) + 1))
+        return (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or taken[i][0] >= m.end())
+
     out += [(m.start(), m.end(), 5) for m in _RUN.finditer(text) if free(m) and is_private_key(decode_base64(m[0]))]
     for m in _HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and free(m) and is_private_key(bytes.fromhex(m[0])):

@@ -261,6 +261,29 @@ def test_common_forms_of_keys_and_tokens():
     assert found(f"{enc('[1, 2, 3, 4]')}.{enc('{}')}.c2ln") == [] == found("Drop.Cat.in Iraq.Cuba.end")
 
 
+def test_locked_keys():
+    kinds = lambda t: [secrets.KINDS[k] for _, _, k in secrets.scan(t) if k > 2]
+
+    def locked(cipher="AES-128-CBC", vector="00112233445566778899AABBCCDDEEFF", size=96, kind="Proc-Type: 4,ENCRYPTED\n"):
+        data = base64.b64encode(bytes(range(size))).decode()
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{kind}DEK-Info: {cipher},{vector}\n\n{data}\n-----END RSA PRIVATE KEY-----"
+
+    assert kinds(locked()) == ["pem"] == kinds(locked("DES-EDE3-CBC", "0011223344556677", 64))
+    for bad in (locked("ROT13"), locked(vector="0011"), locked(size=95), locked(size=3), locked(kind=""), locked("DES-CBC")):
+        assert kinds(bad) == []
+
+
+def test_long_hostile_texts():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN A ", "eyJ", "eyJh.", "password ", "token:", "MI", "30", "0a", "AKIA", "----", "-----BEGIN PRIVATE KEY-----MIIE-----"):
+        secrets.scan(piece * (5_000_000 // len(piece)))
+    assert time.perf_counter() - began < 120
+    text = ("-----BEGIN RSA PRIVATE KEY-----\n" * 1000 + pem(RSA) + "\n") * 20
+    assert [secrets.KINDS[k] for *_, k in secrets.scan(text)] == ["pem"] * 20
+
+
 def test_redaction(spark, odd, none):
     text = f"é password = hunter22 and {pem(RSA)} end {token()}"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
