@@ -9,7 +9,8 @@ neighbours and the nodes that it is a neighbour of are compared with each other,
 unless both were so compared before, and what beats a node's worst neighbour is
 passed on. Rounds end when hardly any edge is new. A task holds one block, for
 which it gets every vector once: at most BLOCK * (DEGREE + REVERSE) vectors,
-whatever the number of rows, and nothing depends on the number of cores.
+whatever the number of rows, and nothing depends on the number of cores. A block
+asks other blocks for vectors, and each answers with one row of those it has.
 
 A query starts at its own node and expands the nodes of its beam, the BEAM
 nearest that were seen, until all of them are expanded. The nearest of the beam
@@ -19,6 +20,8 @@ vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +47,9 @@ SIGNS = 16
 _EDGES = "b long, old int, u binary, c binary, s binary, f binary"
 _AROUND = "b long, ends binary, near binary, new binary, least binary"
 _STATE = "qb long, idx long, vec binary, near binary, sim binary, todo binary"
+_ASKED = "owner long, asker long, ids binary"
+_VECTORS = "asker long, ids binary, vec binary, least binary"
+_NEAR = "asker long, ids binary, ends binary, near binary"
 
 
 def _blob(column, kind) -> list[np.ndarray]:
@@ -162,32 +168,70 @@ def _lists(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tuple(np.frombuffer(row[n][0].as_py(), k) for n, k in (("ends", np.int64), ("near", np.int64), ("new", np.int8), ("least", np.float32)))
 
 
-def _wanted(batches):
-    """(wb, idx): the nodes that a block needs, those around its nodes that have anything new around them."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = pa.Table.from_batches([batch.slice(i, 1)])
-            ends, near, new, _ = _lists(row)
-            active = np.add.reduceat(np.append(new, 0).astype(np.int64), ends[:-1]) * (np.diff(ends) > 0) if len(ends) > 1 else np.zeros(0)
-            need = np.unique(near[np.repeat(active > 0, np.diff(ends))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), row["b"][0].as_py()), pa.int64()), pa.array(need, pa.int64())], ["wb", "idx"])
+def _asking(asker: int, ids: np.ndarray) -> pa.RecordBatch:
+    """What one block asks of each other: one row for each block that has some of these nodes."""
+    owner = ids // BLOCK
+    at = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+    blobs = [ids[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(owner[at[:-1]], pa.int64()), pa.array([asker] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["owner", "asker", "ids"])
 
 
-def _flat_least(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = pa.Table.from_batches([batch.slice(i, 1)])
-            least = _lists(row)[3]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(least)) + row["b"][0].as_py() * BLOCK, pa.int64()), pa.array(least)], ["lidx", "least"])
+def _asks(asked: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Every asker with all nodes that it asked of a block."""
+    asker, ids = np.array(asked["asker"]), _blob(asked["ids"], np.int64)
+    for a in np.unique(asker).tolist():
+        yield a, np.unique(np.concatenate([ids[i] for i in np.flatnonzero(asker == a).tolist()]))
 
 
-def _flat_near(batches):
+def _wanted(batches):
+    """What each block asks for: the nodes around its nodes that have anything new around them."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = pa.Table.from_batches([batch.slice(i, 1)])
-            ends, near, _, _ = _lists(row)
-            blobs = pa.array([near[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs)) + row["b"][0].as_py() * BLOCK, pa.int64()), blobs], ["idx", "near"])
+            ends, near, new, _ = _lists(row)
+            active = np.add.reduceat(np.append(new, 0).astype(np.int64), ends[:-1]) * (np.diff(ends) > 0) if len(ends) > 1 else np.zeros(0)
+            yield _asking(row["b"][0].as_py(), np.unique(near[np.repeat(active > 0, np.diff(ends))]))
+
+
+def _answers(rows: list[tuple], names: list[str]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+
+
+def _vectors_of(asked: pa.Table, block: pa.Table) -> pa.Table:
+    """A block's answers: the vectors asked for and, where the block has them, their nodes' worst similarities."""
+    out = []
+    if block.num_rows and asked.num_rows:
+        start = block["b"][0].as_py() * BLOCK
+        x = np.frombuffer(block["vec"][0].as_py(), np.float32).reshape(block["n"][0].as_py(), -1)
+        least = block["least"][0].as_py()
+        worst = np.full(len(x), -np.inf, np.float32)
+        if least is not None:
+            worst[: len(least) // 4] = np.frombuffer(least, np.float32)
+        out = [(a, ids.tobytes(), x[ids - start].tobytes(), worst[ids - start].tobytes()) for a, ids in _asks(asked)]
+    return _answers(out, ["asker", "ids", "vec", "least"])
+
+
+def _near_of(asked: pa.Table, block: pa.Table) -> pa.Table:
+    """A block's answers: the lists of the nodes asked for; a node alone has none."""
+    out = []
+    if asked.num_rows:
+        start = asked["owner"][0].as_py() * BLOCK
+        ends, near = _lists(block)[:2] if block.num_rows else (np.zeros(1, np.int64), np.zeros(0, np.int64))
+        for a, ids in _asks(asked):
+            lists = [near[ends[i] : ends[i + 1]] if i + 1 < len(ends) else near[:0] for i in (ids - start).tolist()]
+            out.append((a, ids.tobytes(), np.cumsum([0, *map(len, lists)]).astype(np.int64).tobytes(), np.concatenate(lists).tobytes()))
+    return _answers(out, ["asker", "ids", "ends", "near"])
+
+
+def _answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All answered nodes in order, their vectors and worst similarities."""
+    ids = np.concatenate([np.zeros(0, np.int64), *_blob(table["ids"], np.int64)])
+    if not len(ids):
+        return ids, np.zeros((0, 1), np.float32), np.zeros(0, np.float32)
+    x = np.concatenate(_blob(table["vec"], np.float32)).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    return ids[order], x[order], np.concatenate(_blob(table["least"], np.float32))[order]
 
 
 def _local_join(passed: int, degree: int):
@@ -198,9 +242,7 @@ def _local_join(passed: int, degree: int):
         if not around.num_rows or not members.num_rows:
             return _packed_edges(none, none, none, none).drop_columns("old")
         ends, near, new, _ = _lists(around)
-        idx = np.array(members["idx"])
-        order = np.argsort(idx)
-        idx, x, least = idx[order], _matrix(members["vec"])[order], np.array(members["least"])[order]
+        idx, x, least = _answered(members)
         sizes = np.diff(ends)
         active = np.flatnonzero(np.add.reduceat(np.append(new, 0).astype(np.int64), ends[:-1]) * (sizes > 0) > 0)
         width = int(sizes[active].max(initial=0))
@@ -239,12 +281,14 @@ def _expanded(beam: int):
     """One step of every query of a block: all nodes of its beam that are to do are expanded."""
 
     def run(lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        idx = np.array(vectors["idx"])
-        order = np.argsort(idx)
-        idx, x = idx[order], _matrix(vectors["vec"])[order] if len(order) else np.zeros((0, 1), np.float32)
-        kind, node = np.array(lists["kind"]), np.array(lists["idx"])
+        idx, x, _ = _answered(vectors)
+        kind, node = np.array(lists["kind"]), lists["idx"].to_pylist()
         near = _blob(lists["near"], np.int64)
-        adjacent = {int(node[i]): np.searchsorted(idx, near[i]) for i in np.flatnonzero(kind == 1)}
+        adjacent = {}
+        for i in np.flatnonzero(kind == 1).tolist():
+            ids, ends = (np.frombuffer(lists[c][i].as_py(), np.int64) for c in ("ids", "ends"))
+            where = np.searchsorted(idx, near[i])
+            adjacent.update({v: where[a:b] for v, a, b in zip(ids.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)})
         rows = np.flatnonzero(kind == 0)
         sims, todos, vecs = (lists[n].take(pa.array(rows)).to_pylist() for n in ("sim", "todo", "vec"))
         out = []
@@ -265,7 +309,7 @@ def _expanded(beam: int):
         near, sim, todo = zip(*out, strict=True) if out else ((), (), ())
         blobs = [pa.array(list(c), pa.binary()) for c in (vecs, near, sim, todo)]
         block = lists["qb"].take(pa.array(rows)).cast(pa.int64())
-        return pa.table([block, pa.array(node[rows], pa.int64()), *blobs], ["qb", "idx", "vec", "near", "sim", "todo"])
+        return pa.table([block, pa.array([node[i] for i in rows.tolist()], pa.int64()), *blobs], ["qb", "idx", "vec", "near", "sim", "todo"])
 
     return run
 
@@ -279,19 +323,27 @@ def _begun(batches):
         yield pa.RecordBatch.from_arrays([batch.column("qb"), batch.column("idx"), vec, *blobs], ["qb", "idx", "vec", "near", "sim", "todo"])
 
 
-def _fringe(column: str, only_todo: bool):
-    """(qb, idx) of the nodes in a packed column, once for each batch."""
+def _asked_by(blocks: np.ndarray, near: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for b in np.unique(blocks).tolist():
+        yield _asking(b, np.unique(np.concatenate([near[i] for i in np.flatnonzero(blocks == b).tolist()])))
 
-    def run(batches):
-        for batch in batches:
-            near = _blob(batch.column(column), np.int64)
-            if only_todo:
-                near = [x[t > 0] for x, t in zip(near, _blob(batch.column("todo"), np.int8), strict=True)]
-            block = np.repeat(np.array(batch.column("qb")), [len(x) for x in near])
-            pairs = np.unique(np.stack([block, np.concatenate(near)]), axis=1) if len(block) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["qb", "idx"])
 
-    return run
+def _fringe(batches):
+    """What each block of queries asks for: the lists of the nodes to do."""
+    for batch in batches:
+        near = [x[t > 0] for x, t in zip(_blob(batch.column("near"), np.int64), _blob(batch.column("todo"), np.int8), strict=True)]
+        yield from _asked_by(np.array(batch.column("qb")), near)
+
+
+def _candidates(batches):
+    """What each block of queries asks for: the vectors of all nodes in the lists."""
+    for batch in batches:
+        yield from _asked_by(np.array(batch.column("asker")), _blob(batch.column("near"), np.int64))
+
+
+def _whole_blocks(table: pa.Table) -> pa.Table:
+    x = _matrix(table["vec"])[np.argsort(np.array(table["idx"]))]
+    return pa.table([pa.array([table["b"][0].as_py()], pa.int64()), pa.array([len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["b", "n", "vec"])
 
 
 def _nearest_of(count: int):
@@ -334,6 +386,8 @@ class Index:
         nodes = members.filter("r = 1").select("v").mapInArrow(_with_signs, "v array<double>, vec binary, code long")
         self.nodes, self.size = self._numbered(nodes, "nodes", "code", "v")
         self.vectors = stage.write(self.nodes.select("idx", "vec"), "vectors")
+        rows = self.vectors.select(F.floor(F.col("idx") / BLOCK).alias("b"), "idx", "vec")
+        self.blocks = stage.write(rows.groupBy("b").applyInArrow(_whole_blocks, "b long, n int, vec binary"), "blocks")
         own = members.join(self.nodes.select("v", "idx"), "v").select("idx", "vec_id", "r")
         self.members = stage.write(own.withColumn("copy", F.row_number().over(Window.partitionBy("idx", "vec_id").orderBy("r"))).drop("r"), "members")
         stage.drop(members)
@@ -344,7 +398,7 @@ class Index:
             graph, fresh, edges = self._round(graph, around)
             around = self._gathered(graph)
             self.rounds += 1
-        self.near = stage.write(around.mapInArrow(_flat_near, "idx long, near binary"), "near")
+        self.near = around
 
     def _numbered(self, df: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
         """The rows with their place ``idx`` in an order, and how many there are; one number per task comes back."""
@@ -379,12 +433,14 @@ class Index:
         return self.stage.write(rows.groupBy("b").applyInArrow(_around(self.degree, REVERSE), _AROUND), "around")
 
     def _round(self, graph: DataFrame, around: DataFrame) -> tuple[DataFrame, int, int]:
-        least = around.mapInArrow(_flat_least, "lidx long, least float")
-        carried = self.vectors.join(least, F.col("idx") == F.col("lidx"), "left").select("idx", "vec", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
-        members = around.mapInArrow(_wanted, "wb long, idx long").join(carried, "idx").select("wb", "idx", "vec", "least")
-        found = around.groupBy("b").cogroup(members.groupBy("wb")).applyInArrow(_local_join(PASSED, self.degree), "b long, u binary, c binary, s binary, f binary")
+        blocks = self.blocks.join(around.select("b", "least"), "b", "left")
+        members = self._vectors(around.mapInArrow(_wanted, _ASKED), blocks)
+        found = around.groupBy("b").cogroup(members.groupBy("asker")).applyInArrow(_local_join(PASSED, self.degree), "b long, u binary, c binary, s binary, f binary")
         return self._graph(graph.unionByName(found.withColumn("old", F.lit(0)).select("b", "old", "u", "c", "s", "f")))
 
+    def _vectors(self, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+        return asked.groupBy("owner").cogroup(blocks.groupBy("b")).applyInArrow(_vectors_of, _VECTORS)
+
     def _beams(self, ask: DataFrame, beam: int) -> DataFrame:
         """(idx, near, ...) of every node that is asked for, once all nodes of its beam are expanded."""
         stage = self.stage
@@ -392,15 +448,16 @@ class Index:
         most = QUERY_BLOCK if self.size <= TASK_VECTORS else max(1, TASK_VECTORS // (beam * (self.degree + REVERSE)))
         starts = starts.select(F.col("start").alias("idx"), F.floor(F.col("idx") / most).alias("qb"))
         state = stage.write(starts.join(self.vectors, "idx").select("qb", "idx", "vec").mapInArrow(_begun, _STATE), "beam")
+        blocks = self.blocks.withColumn("least", F.lit(None).cast("binary"))
         ended, left = None, count
         while left:
-            fringe = state.select("qb", "near", "todo").mapInArrow(_fringe("near", True), "qb long, idx long").distinct()
-            lists = stage.write(fringe.join(self.near, "idx").select("qb", "idx", "near"), "lists")
-            wanted = lists.select("qb", "near").mapInArrow(_fringe("near", False), "qb long, idx long").distinct()
-            vectors = wanted.join(self.vectors, "idx").select(F.col("qb").alias("vb"), "idx", "vec")
+            asked = state.select("qb", "near", "todo").mapInArrow(_fringe, _ASKED)
+            lists = stage.write(asked.groupBy("owner").cogroup(self.near.groupBy("b")).applyInArrow(_near_of, _NEAR), "lists")
+            vectors = self._vectors(lists.select("asker", "near").mapInArrow(_candidates, _ASKED), blocks)
             none = F.lit(None).cast("binary")
-            both = state.select(F.lit(0).alias("kind"), "*").unionByName(lists.select(F.lit(1).alias("kind"), "qb", "idx", none.alias("vec"), "near", none.alias("sim"), none.alias("todo")))
-            after = stage.write(both.groupBy("qb").cogroup(vectors.groupBy("vb")).applyInArrow(_expanded(beam), _STATE), "beam")
+            both = state.select(F.lit(0).alias("kind"), "qb", "idx", none.alias("ids"), none.alias("ends"), "vec", "near", "sim", "todo")
+            both = both.unionByName(lists.select(F.lit(1).alias("kind"), F.col("asker").alias("qb"), F.lit(None).cast("long").alias("idx"), "ids", "ends", none.alias("vec"), "near", none.alias("sim"), none.alias("todo")))
+            after = stage.write(both.groupBy("qb").cogroup(vectors.groupBy("asker")).applyInArrow(_expanded(beam), _STATE), "beam")
             stage.drop(lists)
             open_ = F.instr(F.hex("todo"), "01") > 0
             done = after.filter(~open_)
