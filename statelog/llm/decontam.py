@@ -156,7 +156,7 @@ def _aligned(shared, least: float, least_words: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, score, matched, first_word, end_word): documents that hold a test item.
 
     ``score`` is the alignment's share of the whole item's score, ``matched``
@@ -167,13 +167,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     """
     spark = docs.sparkSession
     stage = Stage(spark, "decontamination")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
     out = None
     for p in range(parts):
-        few = sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect())
+        few = sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id) for r in items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == p).collect())
         texts = [t for _, t, _ in few]
         grams, owner, _ = item_grams(texts)
         known = np.unique(grams)

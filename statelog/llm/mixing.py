@@ -14,6 +14,8 @@ after all were used once.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import Stage
-from .textops import mix64
+from .textops import mix64, slices
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 1024
 #: Documents of a source in one of the groups that word offsets are summed in.
 GROUP_DOCS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Totals up to which numpy draws; larger ones are drawn here, as exactly.
 _DRAW_LIMIT = 900_000_000
+#: Sources up to which their table is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,16 +66,45 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (3
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact for totals that the generator takes, else by the normal law with the same mean and variance."""
+def _log_gamma_rise(n: float, by: float) -> float:
+    """log(gamma(n + by) / gamma(n)) to full relative precision for large n."""
+    if n < 100 or n + by < 100:
+        return math.lgamma(n + by) - math.lgamma(n)
+    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3)
+    return (n - 0.5) * math.log1p(by / n) + by * math.log(n + by) - by + tail(n + by) - tail(n)
+
+
+def _drawn(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """An exact hypergeometric draw of any size, by the ratio of uniforms around the mode.
+
+    A point under the curve sqrt(p(k) / p(mode)) is drawn from a box that holds
+    it; p(k) / p(mode) is a product of gamma ratios, each taken as a difference.
+    """
     total = good + bad
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    p = good / total
+    spread = math.sqrt(max(draws * p * (1 - p) * (total - draws) / (total - 1), 0.0) + 0.5)
+
+    def log_ratio(k: int) -> float:
+        d = k - mode
+        return -(_log_gamma_rise(mode + 1, d) + _log_gamma_rise(good - mode + 1, -d) + _log_gamma_rise(draws - mode + 1, -d) + _log_gamma_rise(bad - draws + mode + 1, d))
+
+    # The curve is below 1, and u * |x| below 2.2 times the spread for it and all flatter tails.
+    reach = 2.2 * spread + 2
+    while True:
+        u, v = 1.0 - rng.random(), (2 * rng.random() - 1) * reach
+        k = mode + round(v / u)
+        if low <= k <= high and 2 * math.log(u) <= log_ratio(k):
+            return k
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     if good == 0 or draws == 0:
         return 0
-    if total <= _DRAW_LIMIT:
-        return int(rng.hypergeometric(good, bad, draws))
-    p = good / total
-    mean, var = draws * p, draws * p * (1 - p) * (total - draws) / max(total - 1, 1)
-    return int(min(max(round(rng.normal(mean, max(var, 0.0) ** 0.5)), max(0, draws - bad)), min(good, draws)))
+    if bad == 0:
+        return draws
+    return int(rng.hypergeometric(good, bad, draws)) if good + bad <= _DRAW_LIMIT else _drawn(rng, good, bad, draws)
 
 
 def split(counts: list[int], draws: int, seed: tuple[int, ...]) -> list[int]:
@@ -143,7 +177,8 @@ class Mix:
     given per source. ``packed``: (row columns, src, size, start), where start
     is the row's first word in its source's order. ``slots``: (src, block,
     shard, slot), every slot of the output. Null texts have size 0; null ids and
-    repeated rows are rows like others. Reruns agree.
+    repeated rows are rows like others, and are spread by their texts. Other
+    columns are not looked at. Reruns agree.
     """
 
     def __init__(
@@ -160,7 +195,7 @@ class Mix:
         spark = docs.sparkSession
         self.stage, self.block_words = Stage(spark, "mix"), block_words
         text = F.col("text").cast("string")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), *([text.alias("text")] if with_text else []))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tkey"), *([text.alias("text")] if with_text else []))
         rows = self.stage.write(rows, "sizes")
         found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
@@ -170,7 +205,7 @@ class Mix:
         groups = [max(1, -(-r.docs // GROUP_DOCS)) for r in found]
         kinds = "source string, src int, source_size long, target double, slots long, groups int"
         table = [(r.source, i, r.n, w, s, g) for i, (r, w, s, g) in enumerate(zip(found, want, totals, groups, strict=True))]
-        self.sources = spark.createDataFrame(table, kinds)
+        self.sources, self.count = spark.createDataFrame(table, kinds), len(table)
         self.packed = self._offsets(rows)
         shards = -(-sum(totals) // shard_blocks)
         n = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -178,15 +213,15 @@ class Mix:
         self.slots = ids.mapInArrow(_slots(totals, self.blocks, shard_blocks, seed), "src int, block long, shard long, slot long")
 
     def _offsets(self, rows: DataFrame) -> DataFrame:
-        """Each row's first word in its source's order: by group, then id, then size."""
-        s = self.sources
-        rows = rows.join(F.broadcast(s), rows.source.eqNullSafe(s.source)).drop(s.source)
-        rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("groups")).cast("int"))
+        """Each row's first word in its source's order: by group, then id, then size and text."""
+        s = F.broadcast(self.sources) if self.count <= MOST_BROADCAST else self.sources
+        rows = rows.join(s, rows.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
+        rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tkey", F.lit(3)), F.col("groups")).cast("int"))
         sums = rows.groupBy("src", "grp").agg(F.sum("size").alias("in_group"))
         before = Window.partitionBy("src").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(F.col("src").alias("s"), F.col("grp").alias("g"), F.coalesce(F.sum("in_group").over(before), F.lit(0)).alias("base"))
-        within = Window.partitionBy("src", "grp").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        keys = [c for c in rows.columns if c not in ("slots", "groups", "grp")]
+        within = Window.partitionBy("src", "grp").orderBy("doc_id", "size", "tkey").rowsBetween(Window.unboundedPreceding, -1)
+        keys = [c for c in rows.columns if c not in ("slots", "groups", "grp", "tkey")]
         rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         rows = rows.join(sums, (F.col("src") == F.col("s")) & (F.col("grp") == F.col("g")))
         return rows.select(*keys, (F.col("base") + F.col("inner")).alias("start"))
@@ -209,16 +244,50 @@ class Mix:
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def blocks_out(self) -> DataFrame:
-        """The mix itself, needs ``with_text``: (shard, slot, source, block, text), its words joined by blanks."""
-        words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-        at = F.greatest(F.col("block") * self.block_words - F.col("start"), F.lit(0))
-        part = F.slice(words, (at + 1).cast("int"), F.col("words").cast("int"))
-        pieces = self.parts().select("src", "source", "block", "start", "doc_id", part.alias("w"))
+        """The mix itself, needs ``with_text``: (shard, slot, source, block, doc_ids, text).
+
+        A block's words are joined by blanks; ``doc_ids`` are those of the
+        documents that it has words of, in order, null ids left out.
+        """
+        kinds = "src int, source string, block long, start long, doc_id long, w string"
+        pieces = self.packed.filter("size > 0").select("src", "source", "start", "doc_id", "text").mapInArrow(_pieces(self.block_words), kinds)
         packed = pieces.groupBy("src", "source", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "w"))).alias("p"))
-        text = F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ")
-        return self.slots.join(packed.select("src", "source", "block", text.alias("text")), ["src", "block"]).select("shard", "slot", "source", "block", "text")
+        ids = F.array_compact(F.transform("p", lambda x: x["doc_id"]))
+        packed = packed.select("src", "source", "block", ids.alias("doc_ids"), F.array_join(F.transform("p", lambda x: x["w"]), " ").alias("text"))
+        return self.slots.join(packed, ["src", "block"]).select("shard", "slot", "source", "block", "doc_ids", "text")
+
+
+_WORD = re.compile(WORD)
+
+
+def _pieces(block_words: int):
+    """Every text cut where blocks of words end, in one pass over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["src", "source", "block", "start", "doc_id", "w"]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = []
+                for src, source, start, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("src", "source", "start", "doc_id", "text")), strict=True):
+                    words = _WORD.findall(text or "")
+                    at = 0
+                    while at < len(words):
+                        block = (start + at) // block_words
+                        to = min(len(words), (block + 1) * block_words - start)
+                        out.append((src, source, block, start + at, doc_id, " ".join(words[at:to])))
+                        at = to
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return run
 
 
 def mixed_words(docs: DataFrame, **options) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, size, source_size, target, taken)."""
     return Mix(docs, **options).taken()
+
+
+def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
+    """The mix of whole documents as blocks of words: (shard, slot, source, block, doc_ids, text)."""
+    return Mix(docs, with_text=True, **options).blocks_out()

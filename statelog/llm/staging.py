@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +25,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that stages wrote within, once they are read no more."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for folder in _made.pop():
+            delete(spark, folder)
+
+
 class Stage:
     """Writes tables to one run's own folder and reads them back, which cuts their lineage.
 
@@ -33,6 +50,8 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        for folders in _made[-1:]:
+            folders.append(self.folder)
         self.written: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -48,3 +67,11 @@ class Stage:
 
     def clear(self) -> None:
         delete(self.spark, self.folder)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a number of their own each, and the name of its column, which no other has."""
+    name = "row"
+    while name in df.columns:
+        name += "_"
+    return Stage(df.sparkSession, "rows").write(df.withColumn(name, F.monotonically_increasing_id())), name

@@ -31,8 +31,19 @@ def test_shards_add_up():
         assert [a + b for a, b in zip(first, counts, strict=True)] == after
 
 
-def test_large_draws_stay_in_bounds():
+def test_large_draws_are_exact():
+    """The own draw against numpy's where both can, and its mean and spread beyond."""
     rng = np.random.default_rng(1)
+    for good, bad, draws in ((30, 50, 20), (5, 4000, 300), (2000, 3000, 2500), (7, 3, 5), (100_000, 400_000, 1000)):
+        own = np.array([mixing._drawn(rng, good, bad, draws) for _ in range(6000)])
+        other = rng.hypergeometric(good, bad, draws, 6000)
+        cuts = np.unique(np.quantile(other, np.linspace(0, 1, 13)[1:-1], method="nearest"))
+        gap = np.abs((own[:, None] <= cuts).mean(axis=0) - (other[:, None] <= cuts).mean(axis=0))
+        assert gap.max() < 0.04, (good, bad, draws)
+    good, bad, draws = 10**11, 3 * 10**11, 5 * 10**9
+    own = np.array([mixing._drawn(rng, good, bad, draws) for _ in range(3000)], float)
+    spread = np.sqrt(draws * 0.25 * 0.75 * (1 - draws / 4e11))
+    assert abs(own.mean() - draws / 4) < 5 * spread / np.sqrt(3000) and 0.9 < own.std() / spread < 1.1
     assert all(0 <= mixing._hypergeometric(rng, 10**10, 10**11, 5 * 10**9) <= 5 * 10**9 for _ in range(20))
 
 
@@ -63,6 +74,11 @@ def test_blocks_hold_the_taken_words(spark):
             seen[int(w[1:].split("_")[0])] = seen.get(int(w[1:].split("_")[0]), 0) + 1
     assert {d: n for d, n in taken.items() if n} == seen
     assert len({(b.shard, b.slot) for b in blocks}) == len(blocks)
+    words = {i: t.split() for i, t, _ in rows}
+    for b in blocks:
+        assert b.doc_ids == sorted(set(b.doc_ids), key=b.doc_ids.index)
+        assert {int(w[1:].split("_")[0]) for w in b.text.split(" ")} == set(b.doc_ids)
+        assert all(w in words[int(w[1:].split("_")[0])] for w in b.text.split(" "))
 
 
 def test_odd_mix(odd, none):
@@ -260,8 +276,11 @@ def test_steps_go_on_until_nothing_changes(spark):
     # A path that starts at the far end of a line of nodes takes many steps.
     line = ann.Index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>"), k=4)
     at = {int(r.v[1]): r.idx for r in line.nodes.collect()}
-    near = [(at[i], np.array([at[j] for j in (i - 1, i + 1) if 0 <= j < 30], np.int64).tobytes()) for i in range(30)]
-    line.near = spark.createDataFrame([(i, bytearray(b)) for i, b in near], "idx long, near binary")
+    lists = sorted((at[i], [at[j] for j in (i - 1, i + 1) if 0 <= j < 30]) for i in range(30))
+    ends = np.cumsum([0, *(len(x) for _, x in lists)])
+    near = np.array([j for _, x in lists for j in x])
+    row = (0, *(bytearray(x.tobytes()) for x in (ends.astype(np.int64), near.astype(np.int64), np.zeros(len(near), np.int8), np.zeros(30, np.float32))))
+    line.near = spark.createDataFrame([row], "b long, ends binary, near binary, new binary, least binary")
     found = line.search(spark.createDataFrame([(1,)], "query_id long"), beam=12).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [29, 28, 27, 26]
 
@@ -299,12 +318,43 @@ def test_pipeline(spark, data):
     blank = steps["blank_secrets"](spark, clean, data)
     assert blank.columns == docs.columns and blank.count() == clean.count()
     mixed = pipeline.run(spark, data).collect()
-    assert {r.doc_id for r in mixed} == {r.doc_id for r in clean.collect()}
-    assert docs.count() >= len(mixed) > 0
+    texts = {r.doc_id: r.text for r in blank.collect()}
+    assert {i for r in mixed for i in r.doc_ids} <= set(texts)
+    for r in mixed:
+        words = [w for i in r.doc_ids for w in WORD.findall(texts[i])]
+        at = next(i for i in range(len(words)) if words[i : i + len(r.text.split(" "))] == WORD.findall(r.text))
+        assert at < len(WORD.findall(texts[r.doc_ids[0]]))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    import os
+
+    left = [os.listdir(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("pipeline-")]
+    assert left and all(x == ["mix"] for x in left)
 
 
-def test_pipeline_on_repeated_rows(spark, odd, data):
+def test_pipeline_on_odd_rows(spark, odd, data):
+    """One stage after another over nulls, empty and long texts, repeated rows and clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd
+    for _, stage in pipeline.STAGES[:-1]:
+        made = stage(spark, docs, data)
+        assert made.columns == odd.columns
+        docs = spark.createDataFrame(made.collect(), odd.schema)
+    assert pipeline.mix(spark, docs, data).count() >= 0
+    empty = odd.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, data).count() == 0
+
+
+def test_near_dedup_of_rows_with_equal_ids(spark, odd, data):
     pipeline = pytest.importorskip("corpus_pipeline")
-    got = dict(pipeline.STAGES)["near_dedup"](spark, odd, data).collect()
-    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
-    assert ids == [1, 3, 4, 5, 6, 8, 9, 10]
+    near_dedup = dict(pipeline.STAGES)["near_dedup"]
+    got = near_dedup(spark, odd.coalesce(1), data).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 9, 10]
+    assert [r.text for r in got if r.doc_id is None] == [None]
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "red green blue white black grey"), (None, "red green blue white black grey"), (None, "up down left right in out")]
+    got = near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), data).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in rows[:3] + rows[4:])
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    rows = [(1, "a text of its own that holds nothing"), (1, f"here it is: {bench} and more"), (None, bench), (None, None)]
+    got = dict(pipeline.STAGES)["decontaminate"](spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([rows[0], rows[3]], "doc_id long, text string").collect()]))
