@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from statelog.llm.decontam import contaminated
 from statelog.llm.minhash import near_duplicates
-from statelog.llm.mixing import mixed_words
+from statelog.llm.mixing import mixed_blocks
 from statelog.llm.quality import keep_good
 from statelog.llm.secrets import redact_secrets
-from statelog.llm.staging import shared_folder
+from statelog.llm.staging import delete, numbered, removed_after, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,38 +21,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled texts vote for."""
+    """Rows whose texts the nearest labelled texts vote for, those without id included."""
     return keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose id isn't in ``dropped.gone``; rows with a null id stay."""
-    return docs.join(dropped, docs.doc_id == dropped.gone, "left_anti")
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike on shingles of five words; one row of repeated rows."""
-    found = near_duplicates(docs, words=5, threshold=(80, 100))
-    gone = found.filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("gone"))
-    once = docs.join(again, docs.doc_id == again.gone, "left_semi").dropDuplicates(["doc_id"])
-    return _without(_without(docs, again).unionByName(once), gone)
+    """One row of each group that is alike on shingles of five words, the first of them.
+
+    Rows are told apart by written numbers of their own, so that rows with equal
+    or null ids count like others. Texts without words are alike with nothing.
+    """
+    rows, key = numbered(docs)
+    found = near_duplicates(rows, id_col=key, words=5, threshold=(80, 100))
+    return _only(rows, key, found.filter("kept").select(F.col("doc_id").alias("at")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select(F.col("doc_id").alias("gone")).distinct())
+    """Rows that hold no test item, also among rows with equal or null ids."""
+    rows, key = numbered(docs)
+    found = contaminated(rows, _table(spark, sf_dir, "benchmark"), id_col=key)
+    return _only(rows, key, found.select(F.col("doc_id").alias("at")).distinct(), "left_anti")
+
+
+def _only(rows: DataFrame, key: str, which: DataFrame, how: str) -> DataFrame:
+    return rows.join(which, rows[key] == which["at"], how).drop(key)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind."""
+    """All rows, each secret in a text replaced by its kind; null texts stay null."""
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mixed_words(docs, weights=(3, 1, 2), share=1.5, most=2.0)
+    """The corpus: blocks of words of whole documents (shard, slot, source, block, doc_ids, text)."""
+    return mixed_blocks(docs, weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,10 +70,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next.
+
+    A stage's table is removed once the next one is written, what a stage
+    staged for itself as soon as its own is.
+    """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with removed_after(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            delete(spark, last)
+        last = f"{folder}/{name}"
     return docs
