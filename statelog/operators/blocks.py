@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +55,24 @@ def write(blocks: DataFrame, writes: DataFrame, size: int) -> DataFrame:
 
 
 def _trace(capacity: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
+    """Adds hits to accesses that come by cache and seq, with the blocks that are held as the only state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict = OrderedDict()
-        used, hits = 0, []
-        for key, size in zip(zip(table["path"].to_pylist(), table["block_num"].to_pylist(), strict=True), table["size"].to_pylist(), strict=True):
-            hits.append(key in held)
-            used += size - held.pop(key, 0)
-            held[key] = size
-            while used > capacity and held:
-                used -= held.popitem(last=False)[1]
-        return table.append_column("hit", pa.array(hits, pa.bool_()))
+        used, started, last = 0, False, None
+        for batch in batches:
+            hits = []
+            for cache, path, number, size in zip(*(batch.column(c).to_pylist() for c in ("cache", "path", "block_num", "size")), strict=True):
+                if not started or cache != last:
+                    held.clear()
+                    used, started, last = 0, True, cache
+                key = (path, number)
+                hits.append(key in held)
+                used += size - held.pop(key, 0)
+                held[key] = size
+                while used > capacity and held:
+                    used -= held.popitem(last=False)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
 
     return run
 
@@ -71,9 +80,20 @@ def _trace(capacity: int):
 def cache_trace(accesses: DataFrame, capacity: int, cache: str | None = None) -> DataFrame:
     """``accesses`` (path, block_num, size, seq) with whether a least-recently-used cache holds the block.
 
-    Serial within a cache; a log of several names them in the column ``cache``.
-    A block larger than the cache drives out everything, itself included.
+    Serial within a cache, in memory for the blocks held; a log of several names
+    them in the column ``cache``. A block larger than the cache drives out
+    everything, itself included.
     """
     rows = accesses.select("path", "block_num", "size", "seq", (F.lit(0) if cache is None else F.col(cache)).alias("cache"))
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return rows.groupBy("cache").applyInArrow(_trace(capacity), f"{kinds}, hit boolean")
+    return rows.repartition("cache").sortWithinPartitions("cache", "seq").mapInArrow(_trace(capacity), f"{kinds}, hit boolean")
+
+
+def cached(blocks: DataFrame, capacity: int) -> DataFrame:
+    """Blocks kept for repeated reads, in memory as far as it goes and on disk beyond; ``capacity`` in bytes decides on memory at all.
+
+    A relation larger than ``capacity`` isn't kept and is read again. Losing an
+    executor loses no blocks, which are then read again too.
+    """
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK) if size <= capacity else blocks

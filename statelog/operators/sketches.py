@@ -43,8 +43,14 @@ def _spread(items: DataFrame, item: str, base: int, width: int, m: int, k: int,
 
 
 def counter(items: DataFrame, item: str, m: int, k: int, base: int) -> DataFrame:
-    """(row, idx, cnt): the cells that are not 0; counts are summed before they are shuffled."""
-    return _spread(items, item, base, COUNTER_SEED_BYTES, m, k).groupBy("row", "idx").agg(F.count("*").alias("cnt"))
+    """(row, idx, cnt): the cells that are not 0.
+
+    Equal items are counted first, so that each is hashed once per row; counts
+    are summed before they are shuffled.
+    """
+    distinct = items.groupBy(F.col(item).cast("binary").alias("_item")).agg(F.count("*").alias("_n"))
+    cells = _spread(distinct, "_item", base, COUNTER_SEED_BYTES, m, k, "_n")
+    return cells.groupBy("row", "idx").agg(F.sum("_n").cast("long").alias("cnt"))
 
 
 def estimate(sketch: DataFrame, items: DataFrame, item: str, m: int, k: int, base: int) -> DataFrame:
@@ -141,12 +147,15 @@ def serialize_bloom(bits: DataFrame, m: int, k: int, base: int) -> DataFrame:
     return all_.agg(F.unhex(F.concat(F.lit(head), text)).alias("data"))
 
 
-def deserialize_bloom(data: bytes, spark) -> tuple[DataFrame, int, int, int]:
-    """(bits, m, k, base); an error unless the length is exact."""
-    if len(data) < 12:
-        raise ValueError("invalid bloom filter data")
-    m, k, base = (int.from_bytes(data[i : i + 4], "big") for i in (0, 4, 8))
-    if not m or not k or len(data) != 12 + -(-m // 8):
-        raise ValueError("invalid bloom filter data")
-    rows = [(8 * y + x,) for y, b in enumerate(data[12:]) for x in range(8) if b >> x & 1]
-    return spark.createDataFrame(rows, "bit long"), m, k, base
+def deserialize_bloom(data: DataFrame, column: str = "data") -> DataFrame:
+    """(m, k, base, bit) of serialised bytes; an error unless their length is exact."""
+    digits = F.hex(column)
+    number = lambda at: F.conv(F.substr(digits, F.lit(at), F.lit(8)), 16, 10).cast("long")
+    m, k, size = number(1), number(9), F.octet_length(column)
+    good = (size >= 12) & (m > 0) & (k > 0) & (size == 12 + F.ceil(m / 8))
+    checked = F.when(good, m).otherwise(F.raise_error(F.lit("invalid bloom filter data")).cast("long"))
+    rows = data.select(checked.alias("m"), k.alias("k"), number(17).alias("base"), digits.alias("h"))
+    rows = rows.select("m", "k", "base", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / 8) - 1)).alias("y"))
+    byte = F.conv(F.substr("h", (F.col("y") * 2 + 25).cast("int"), F.lit(2)), 16, 10).cast("int")
+    rows = rows.select("m", "k", "base", "y", byte.alias("v")).filter("v != 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x"))
+    return rows.filter(F.call_function("shiftright", F.col("v"), F.col("x")).bitwiseAND(F.lit(1)) == 1).select("m", "k", "base", (F.col("y") * 8 + F.col("x")).alias("bit"))

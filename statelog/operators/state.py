@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.functions.codec import encode_record
+from statelog.sources.shared import numbered
 
 #: Bytes that a record counts for beside its key and value.
 RECORD_OVERHEAD = 41
@@ -17,6 +18,22 @@ def puts(rows: DataFrame, key: Column, value: Column, seq: Column, expires_at: C
     return rows.select(key.alias("key"), value.alias("value"), F.lit(False).alias("tombstone"), seq.alias("seq"), when.alias("expires_at"))
 
 
+def expiry(now: Column, ttl_ns: Column) -> Column:
+    """``expires_at`` in whole epoch seconds of a record put at ``now`` (epoch microseconds) to live for so many nanoseconds.
+
+    Seconds are cut after the addition; a null time to live is none, which is 0.
+    """
+    return F.coalesce(F.floor((now + F.floor(ttl_ns / 1000)) / 1_000_000), F.lit(0)).cast("long")
+
+
+def appended(ops: DataFrame, more: DataFrame, order: str) -> DataFrame:
+    """``ops`` and operations ``more`` (key, value, tombstone, expires_at) after them, numbered on in an order."""
+    last = ops.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    rows = numbered(more, "append", order).crossJoin(F.broadcast(last))  # one row
+    new = rows.withColumn("seq", F.col("last") + F.col("place") + 1).drop("last", "place", order)
+    return ops.unionByName(new.select("key", "value", "tombstone", "seq", "expires_at"), allowMissingColumns=True)
+
+
 def deletes(rows: DataFrame, key: Column, seq: Column) -> DataFrame:
     """Delete operations: blind tombstones without value."""
     return rows.select(key.alias("key"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("tombstone"), seq.alias("seq"), F.lit(0).cast("long").alias("expires_at"))
@@ -68,18 +85,14 @@ def tombstones(ops: DataFrame) -> DataFrame:
     return winners(ops).filter("tombstone").select("key", "seq")
 
 
-def ordered_scan(ops: DataFrame, prefix: int = 3) -> DataFrame:
-    """Live records with their place in byte order of keys.
+def ordered_scan(ops: DataFrame) -> DataFrame:
+    """Live records with their place in byte order of keys, from 1.
 
-    Places are counted within key prefixes and then over prefixes, so that no
-    single task orders all keys.
+    Tasks order ranges of keys, and a range's places follow from how many keys
+    those before it have.
     """
-    rows = latest(ops).withColumn("p", F.substring("key", 1, prefix))
-    sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("key")) + F.col("base")
-    return rows.join(bases, "p").select(place.cast("long").alias("pos"), "key", "value")
+    rows = numbered(latest(ops), "scan", "key")
+    return rows.select((F.col("place") + 1).alias("pos"), "key", "value")
 
 
 def record_size(ops: DataFrame) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,9 @@ from statelog import config
 from statelog.functions import commands
 from statelog.functions.codec import decode_records
 from statelog.operators import blocks, layout, session, sketches, state
-from statelog.streaming.state import run_available
+from statelog.sources import runs
+from statelog.sources.shared import new_folder
+from statelog.streaming.state import read_state, run_available
 
 BASE = 1700000000
 BLOOM = (14378, 7)
@@ -54,11 +54,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/statelog-checkpoints"
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 _OPS = "SELECT 'u' || user_id AS key, props AS value, event_type = 'error' AS tomb, event_id + 1 AS seq, event_type AS kind FROM events"
 _WON = f"(SELECT key, arg_max({{'value': value, 'tomb': tomb, 'seq': seq}}, seq) AS w FROM ({_OPS}) GROUP BY key)"
 
@@ -135,6 +130,7 @@ t AS (SELECT laid.*, CASE WHEN gen <= fulls - {n} THEN 'SST' WHEN gen < fulls TH
 
 
 def _layout(spark, sf_dir, kind):
+    """The log laid out, written once, and the same with its tiers."""
     laid = layout.generations(event_log(spark, sf_dir), kind[0], kind[1])
     return laid, layout.with_tiers(laid, *kind)
 
@@ -182,6 +178,39 @@ def recovery_state(spark, sf_dir):
     return layout.recovered(_layout(spark, sf_dir, WIDE)[1])
 
 
+def _written_runs(spark, sf_dir):
+    """The runs of the log's layout, written as files of encoded records and read again."""
+    rows = layout.runs(_layout(spark, sf_dir, WIDE)[1])
+    data = rows.select("gen", F.col("key").cast("binary").alias("key"), state.encode_record(F.col("key"), F.col("value"), F.col("tombstone"), F.col("seq")).alias("data"))
+    folder = new_folder(spark, "runs")
+    spark.dataSource.register(runs.RunFiles)
+    data.write.format("statelog_runs").mode("append").save(folder)
+    return runs.read_runs(spark, folder, strict=True)
+
+
+_RUNS = _tiered(*WIDE) + ", r AS (SELECT gen, key, arg_max({'value': value, 'tomb': tomb, 'seq': seq}, seq) AS w FROM t WHERE tier = 'SST' GROUP BY 1, 2)"
+
+
+@query(_RUNS + " SELECT printf('run_%019d.data', gen) AS run, key, CASE WHEN NOT w.tomb THEN w.value END AS value, w.tomb AS tombstone, w.seq AS seq FROM r")
+def run_files(spark, sf_dir):
+    """Every record of every run file that a folder holds."""
+    return _written_runs(spark, sf_dir).select("run", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tombstone", "seq")
+
+
+@query(_RUNS + ", n AS (SELECT key, arg_max(w, gen) AS w FROM r GROUP BY key) SELECT key, w.value AS value, w.seq AS seq FROM n WHERE NOT w.tomb")
+def run_files_get(spark, sf_dir):
+    """What the newest run file with a key says about it, for every key."""
+    found = runs.newest_run_get(_written_runs(spark, sf_dir))
+    return found.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "seq")
+
+
+@query(_tiered(*WIDE) + ", r AS (SELECT key, arg_max({'tomb': tomb, 'gen': gen, 'tier': tier}, seq) AS w FROM t WHERE tier <> 'SST' GROUP BY 1) SELECT key, NOT w.tomb AS found, w.gen AS gen, w.tier AS tier FROM r")
+def layered_get_single_file(spark, sf_dir):
+    """Single-file mode writes no runs: what was flushed is found by no read."""
+    laid = _layout(spark, sf_dir, WIDE)[0]
+    return layout.layered_get(layout.with_tiers(laid, *WIDE, multi_file=False))
+
+
 @query(f"SELECT (seq - 1) // 1000 AS segment, count(*) AS n_ops, min(seq) AS first_seq, max(seq) AS last_seq FROM ({_OPS}) GROUP BY 1")
 def wal_segments(spark, sf_dir):
     return layout.segments(event_log(spark, sf_dir))
@@ -289,10 +318,12 @@ def cms_roundtrip(spark, sf_dir):
     return sketches.deserialize_counter(sketches.serialize_counter(_counter(_items(spark, sf_dir)), *CMS))
 
 
-_SET = f"(SELECT DISTINCT {_cell('c_name', 'r', 4, BLOOM[0])} AS bit FROM customer, range({BLOOM[1]}) t(r) WHERE c_custkey % 3 = 0)"
+_SET = f"(SELECT DISTINCT {_cell('c_name', 'r', 4, BLOOM[0])} AS bit FROM customer, range({BLOOM[1]}) t(r))"
+#: A filter of a third of the customers, so that the others can be asked for in vain.
+_THIRD = f"{_SET[:-1]} WHERE c_custkey % 3 = 0)"
 
 
-def _customers(spark, sf_dir, third=True):
+def _customers(spark, sf_dir, third=False):
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("item"), "c_custkey")
     return rows.filter("c_custkey % 3 = 0") if third else rows
 
@@ -306,18 +337,18 @@ def bloom_bits(spark, sf_dir):
     return _bits(_customers(spark, sf_dir))
 
 
-_PROBE = f"(SELECT item, bool_and(s.bit IS NOT NULL) AS maybe FROM (SELECT c_name AS item, {_cell('c_name', 'r', 4, BLOOM[0])} AS idx FROM customer, range({BLOOM[1]}) t(r)) p LEFT JOIN {_SET} s ON p.idx = s.bit GROUP BY item)"
+_PROBE = f"(SELECT item, bool_and(s.bit IS NOT NULL) AS maybe FROM (SELECT c_name AS item, {_cell('c_name', 'r', 4, BLOOM[0])} AS idx FROM customer, range({BLOOM[1]}) t(r)) p LEFT JOIN {_THIRD} s ON p.idx = s.bit GROUP BY item)"
 
 
 @query(f"SELECT item, maybe FROM {_PROBE}")
 def bloom_probe(spark, sf_dir):
-    return sketches.might_contain(_bits(_customers(spark, sf_dir)), _customers(spark, sf_dir, False), "item", *BLOOM, BASE)
+    return sketches.might_contain(_bits(_customers(spark, sf_dir, True)), _customers(spark, sf_dir), "item", *BLOOM, BASE)
 
 
 @query(f"SELECT count(*) AS absent, count(*) FILTER (WHERE maybe) AS false_hits FROM {_PROBE} p JOIN (SELECT c_name FROM customer WHERE c_custkey % 3 <> 0) c ON p.item = c.c_name")
 def bloom_fp_rate(spark, sf_dir):
-    absent = _customers(spark, sf_dir, False).filter("c_custkey % 3 <> 0")
-    probed = sketches.might_contain(_bits(_customers(spark, sf_dir)), absent, "item", *BLOOM, BASE)
+    absent = _customers(spark, sf_dir).filter("c_custkey % 3 <> 0")
+    probed = sketches.might_contain(_bits(_customers(spark, sf_dir, True)), absent, "item", *BLOOM, BASE)
     return probed.agg(F.count("*").alias("absent"), F.count_if("maybe").alias("false_hits"))
 
 
@@ -331,6 +362,11 @@ def bloom_serialize(spark, sf_dir):
     return data.select(F.md5(F.hex("data").cast("binary")).alias("digest"), F.octet_length("data").alias("bytes"))
 
 
+@query(f"SELECT {BLOOM[0]}::BIGINT AS m, {BLOOM[1]}::BIGINT AS k, {BASE}::BIGINT AS base, bit FROM {_SET}")
+def bloom_roundtrip(spark, sf_dir):
+    return sketches.deserialize_bloom(sketches.serialize_bloom(_bits(_customers(spark, sf_dir)), *BLOOM, BASE))
+
+
 @query(f"SELECT bit FROM {_SET}")
 def lsm_bloom_replay(spark, sf_dir):
     return sketches.replay_deltas(_customers(spark, sf_dir), "item", *sketches.read_meta(sketches.meta_bytes(*BLOOM, BASE)))
@@ -389,14 +425,15 @@ def block_upsert(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT event_id AS seq, user_id % 37 AS n FROM events WHERE event_id < 2000),
-p AS (SELECT seq, n, lag(seq) OVER (PARTITION BY n ORDER BY seq) AS before FROM a)
-SELECT p.seq, p.n AS block_num, p.before IS NOT NULL AND (SELECT count(DISTINCT b.n) FROM a b WHERE b.seq > p.before AND b.seq < p.seq) < 8 AS hit FROM p"""
+    """WITH a AS (SELECT event_id AS seq, user_id % 37 AS n FROM events),
+b AS (SELECT DISTINCT n AS block FROM a),
+l AS (SELECT a.seq, a.n, b.block, max(CASE WHEN a.n = b.block THEN a.seq END) OVER (PARTITION BY b.block ORDER BY a.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM a, b),
+p AS (SELECT seq, n, max(CASE WHEN block = n THEN last END) OVER (PARTITION BY seq) AS before, last FROM l)
+SELECT seq, n AS block_num, any_value(before) IS NOT NULL AND count(*) FILTER (WHERE last > before) < 8 AS hit FROM p GROUP BY seq, n"""
 )
 def lru_trace(spark, sf_dir):
-    """The first 2,000 accesses, which is what the quadratic statement of the result can check."""
-    rows = table(spark, sf_dir, "events").filter("event_id < 2000")
-    seen = rows.select(F.lit("f").alias("path"), (F.col("user_id") % 37).alias("block_num"), F.lit(BLOCK).cast("long").alias("size"), F.col("event_id").alias("seq"))
+    """All accesses; a block is held if fewer than 8 others were read since it was."""
+    seen = table(spark, sf_dir, "events").select(F.lit("f").alias("path"), (F.col("user_id") % 37).alias("block_num"), F.lit(BLOCK).cast("long").alias("size"), F.col("event_id").alias("seq"))
     return blocks.cache_trace(seen, 8 * BLOCK).select("seq", "block_num", "hit")
 
 
@@ -457,6 +494,38 @@ def stream_latest_state(spark, sf_dir):
     stored = table(spark, sf_dir, "events")
     events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     ops = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), (F.col("event_type") == "error").alias("tombstone"), (F.col("event_id") + 1).alias("seq"))
-    folder = shared(spark)
+    folder = new_folder(spark, "stream")
     run_available(ops, f"{folder}/state", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/state")
+    return read_state(spark, f"{folder}/state")
+
+
+_JSON = [
+    '{"data_dir": "d", "block_size": 8192, "memtable_type": "btree", "memtable_instances": 4, "btree_degree": 4, "cache_size": 100}',
+    '{"block_size": 5000, "memtable_type": "rbtree", "memtable_instances": 0, "btree_degree": 1, "cache_size": -1, "memtable_max_entries": 3}',
+    "{}",
+    "{not json",
+]
+
+
+@query(
+    """SELECT i, bad, CASE WHEN bs IN (4096, 8192, 16384) THEN bs ELSE 4096 END AS block_size, CASE WHEN mt IN ('hashmap', 'skiplist', 'btree') THEN mt ELSE 'hashmap' END AS memtable_type,
+CASE WHEN bd >= 2 THEN bd ELSE 16 END AS btree_degree, CASE WHEN mi >= 1 THEN mi ELSE 1 END AS memtable_instances, CASE WHEN cs > 0 THEN cs ELSE 8192 END AS cache_size,
+CASE WHEN me > 0 THEN me ELSE 1000 END AS memtable_max_entries, coalesce(dd, 'data') AS data_dir FROM (
+SELECT i, NOT json_valid(j) AS bad, (g->>'block_size')::BIGINT AS bs, g->>'memtable_type' AS mt, (g->>'btree_degree')::BIGINT AS bd, (g->>'memtable_instances')::BIGINT AS mi,
+(g->>'cache_size')::BIGINT AS cs, (g->>'memtable_max_entries')::BIGINT AS me, g->>'data_dir' AS dd FROM (SELECT i, j, CASE WHEN json_valid(j) THEN j::JSON ELSE '{}'::JSON END AS g FROM (VALUES """
+    + ", ".join(f"({i}::BIGINT, '{j}')" for i, j in enumerate(_JSON))
+    + ") t(i, j)))"
+)
+def config_load(spark, sf_dir):
+    """Settings read from JSON texts; what is missing, out of range or damaged takes its default."""
+    rows = config.load(spark.createDataFrame(list(enumerate(_JSON)), "i long, json string"))
+    return rows.select("i", "bad", "data_dir", *_NAMES)
+
+
+@query(f"SELECT key, seq, CASE WHEN seq % 2 = 0 AND NOT tomb THEN floor((epoch_us(ts) + ttl * 1000) / 1000000)::BIGINT ELSE 0 END AS expires_at FROM (SELECT 'u' || user_id AS key, event_id + 1 AS seq, event_type = 'error' AS tomb, ts, ((event_id + 1) % 7) * 1500 AS ttl FROM events)")
+def put_expiry(spark, sf_dir):
+    """Puts with a time to live: when each expires, in whole seconds."""
+    rows = table(spark, sf_dir, "events")
+    seq = F.col("event_id") + 1
+    ttl = F.when((seq % 2 == 0) & (F.col("event_type") != "error"), commands.duration_ns(F.concat(((seq % 7) * 1500).cast("string"), F.lit("ms"))))
+    return rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), seq.alias("seq"), state.expiry(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))"), ttl).alias("expires_at"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from statelog.functions.codec import decode_records
 
-RECORD = "key string, value binary, tombstone boolean, seq long"
+RECORD = "key binary, value binary, tombstone boolean, seq long"
 SUFFIX = ".data"
 
 
@@ -28,9 +30,8 @@ def _decoded(strict: bool):
             for run_name, data in zip(batch.column("run").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows = decode_records(data, strict)
                 cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-                keys = pa.array([k.decode("utf-8", "replace") for k in cols[0]], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([run_name] * len(rows), pa.string()), keys, pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
+                    [pa.array([run_name] * len(rows), pa.string()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
                     ["run", "key", "value", "tombstone", "seq"],
                 )
 
@@ -56,9 +57,11 @@ def newest_run_get(runs: DataFrame) -> DataFrame:
 class RunFiles(DataSource):
     """Sink of encoded records: ``df.write.format("statelog_runs")`` of (gen, key, data) rows.
 
-    One file per generation, sorted by key: rows must come with a generation in
-    one partition. The path must be mounted on every executor. A file is renamed
-    to its name only when it is complete.
+    One file per generation, sorted by key: rows must come by generation and
+    key, each generation in one partition, as ``layout.runs`` gives them. The
+    path is a folder of any file system that Arrow reaches and all executors
+    share. A run is written as it comes, beside its place, and takes its place
+    when the whole job is done; a job that fails leaves no run.
     """
 
     @classmethod
@@ -66,26 +69,56 @@ class RunFiles(DataSource):
         return "statelog_runs"
 
     def schema(self) -> str:
-        return "gen long, key string, data binary"
+        return "gen long, key binary, data binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _RunWriter(self.options["path"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    runs: list[tuple[str, str]]
+
+
 class _RunWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
+
+    def _folder(self):
+        return pa_fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
 
     def write(self, iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        runs: dict[int, list] = {}
+        files, folder = self._folder()
+        files.create_dir(folder, recursive=True)
+        runs: list[tuple[str, str]] = []
+        gen, last, out = None, None, None
         for row in iterator:
-            runs.setdefault(row["gen"], []).append((row["key"].encode(), bytes(row["data"])))
-        for gen, rows in runs.items():
-            name = f"{self.path}/run_{gen:019d}{SUFFIX}"
-            with open(f"{name}.part", "wb") as out:
-                out.writelines(data for _, data in sorted(rows))
-                out.flush()
-                os.fsync(out.fileno())
-            os.replace(f"{name}.part", name)
-        return WriterCommitMessage()
+            if out is None or row["gen"] != gen:
+                if out is not None:
+                    out.close()
+                gen, last = row["gen"], None
+                name = f"{folder}/run_{gen:019d}{SUFFIX}"
+                if any(n == name for _, n in runs):
+                    raise ValueError("rows of a run must come together")
+                runs.append((f"{name}.{uuid.uuid4().hex}.part", name))
+                out = files.open_output_stream(runs[-1][0])
+            key = row["key"].encode() if isinstance(row["key"], str) else bytes(row["key"])
+            if last is not None and key < last:
+                raise ValueError("rows of a run must come by key")
+            last = key
+            out.write(bytes(row["data"]))
+        if out is not None:
+            out.close()
+        return _Written(runs)
+
+    def commit(self, messages) -> None:
+        files, _ = self._folder()
+        for m in messages:
+            for part, name in m.runs if m is not None else ():
+                files.move(part, name)
+
+    def abort(self, messages) -> None:
+        files, _ = self._folder()
+        for m in messages:
+            for part, _ in m.runs if m is not None else ():
+                files.delete_file(part)

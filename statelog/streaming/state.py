@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,26 @@ def latest_stream(ops: DataFrame) -> DataFrame:
 
 
 def run_available(ops: DataFrame, out: str, checkpoint: str) -> None:
-    """Folds all that is available now and writes the whole state to ``out`` after each batch."""
+    """Folds all that is available now; each batch adds the keys that it changed to ``out``, in a folder of its own.
 
-    def keep(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(out)
+    A batch that is run again replaces its own folder only, so that the state
+    can be read at any time and after any crash.
+    """
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = latest_stream(ops).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = latest_stream(ops).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def read_state(spark: SparkSession, out: str) -> DataFrame:
+    """(key, value, tombstone, seq): of every key what the last batch that changed it says."""
+    rows = spark.read.parquet(out)
+    won = rows.groupBy("key").agg(F.max_by(F.struct("value", "tombstone", "seq"), F.struct("seq", "batch")).alias("w"))
+    return won.select("key", "w.value", "w.tombstone", "w.seq")
+
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """The state so far as one batch of a new folder, which readers and a later run may go on from."""
+    read_state(spark, out).write.parquet(f"{to}/batch=-1")

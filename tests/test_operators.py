@@ -40,6 +40,82 @@ def test_generations(spark, seed):
     assert tiers == {g: "SST" if g <= fulls - n else "RO" if g < fulls else "ACTIVE" for g in set(want)}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_generations_over_ranges(spark, seed):
+    """Ranges side by side against the serial fold, also where a table takes more than one."""
+    rng = random.Random(100 + seed)
+    letters = [f"k{i}" for i in range(rng.choice([3, 12, 400]))]
+    ops = [(rng.choice(letters) if seed < 5 else f"u{i}", rng.choice([None, "x" * rng.randint(0, 90)])) for i in range(rng.choice([150, 301]))]
+    entries, most = rng.randint(1, 9), rng.choice([200, 600, 10**9])
+    want, _ = rotated(ops, entries, most)
+    laid = layout.generations(log_of(spark, ops), entries, most, span=rng.choice([16, 50]))
+    assert [r.gen for r in laid.orderBy("seq").collect()] == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_openings(seed):
+    rng = random.Random(seed)
+    keys = [rng.choice("abcdefgh") for _ in range(60)]
+    sizes = [rng.randint(1, 9) for _ in keys]
+    entries, most, own = rng.randint(1, 9), rng.choice([10, 30, 10**9]), rng.randint(1, 60)
+
+    def after(start):
+        table = {}
+        for i in range(start, len(keys)):
+            table[keys[i]] = sizes[i]
+            if len(table) >= entries or sum(table.values()) >= most:
+                return i + 1
+        return -1
+
+    leave, count, next_ = layout.openings(keys, sizes, own, entries, most)
+    assert next_.tolist() == [after(i) for i in range(own)]
+    for i in range(len(leave)):
+        at, n = i, 0
+        while 0 <= at < own:
+            at, n = after(at), n + 1
+        assert (leave[i], count[i]) == (at, n)
+
+
+def test_single_file_mode(spark):
+    ops = log_of(spark, [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")])
+    laid = layout.generations(ops, 2, 10**9)
+    tiered = layout.with_tiers(laid, 2, 10**9, 1, multi_file=False)
+    assert layout.recovered(tiered).count() == 0 == layout.runs(tiered).count()
+    assert {r.key: r.tier for r in layout.layered_get(tiered).collect()} == {"e": "ACTIVE"}
+    with pytest.raises(ValueError, match="instance"):
+        layout.with_tiers(laid, 2, 10**9, 0)
+
+
+def test_appended_operations_and_expiry(spark):
+    ops = spark.createDataFrame([("a", "1", False, 7, 0)], OPS + ", expires_at long")
+    more = spark.createDataFrame([("b", "2", False, 99, 2), ("a", None, True, 0, 1)], "key string, value string, tombstone boolean, expires_at long, line long")
+    got = state.appended(ops, more, "line").orderBy("seq").collect()
+    assert [(r.key, r.seq, r.expires_at) for r in got] == [("a", 7, 0), ("a", 8, 0), ("b", 9, 99)]
+    rows = spark.sql("SELECT 10900000L AS now, n FROM VALUES (100000000L), (1500000000L), (-900000000L), (CAST(NULL AS LONG)) t(n)")
+    assert [r[0] for r in rows.select(state.expiry(F.col("now"), F.col("n"))).collect()] == [11, 12, 10, 0]
+
+
+def test_ordered_scan(spark):
+    keys = [f"prefix{i % 97:03d}{'é' if i % 3 else ''}" for i in range(300)]
+    got = state.ordered_scan(log_of(spark, [(k, "v") for k in keys]).repartition(7)).orderBy("pos").collect()
+    assert [(r.pos, r.key) for r in got] == list(enumerate(sorted(set(keys), key=str.encode), 1))
+
+
+def test_stream_state_after_several_batches(spark, tmp_path):
+    from statelog.streaming import state as streaming
+
+    ops = [("a", "1"), ("b", "2"), ("a", None), ("c", "3"), ("b", "4")]
+    folder = str(tmp_path / "in")
+    log = log_of(spark, ops)
+    for i in range(len(ops)):
+        log.filter(F.col("seq") == i + 1).coalesce(1).write.mode("append").parquet(folder)
+        streaming.run_available(spark.readStream.schema(OPS).parquet(folder), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    want = {"a": (None, 3), "b": ("4", 5), "c": ("3", 4)}
+    assert {r.key: (r.value, r.seq) for r in streaming.read_state(spark, str(tmp_path / "out")).collect()} == want
+    streaming.compact(spark, str(tmp_path / "out"), str(tmp_path / "new"))
+    assert {r.key: (r.value, r.seq) for r in streaming.read_state(spark, str(tmp_path / "new")).collect()} == want
+
+
 def test_sharded_generations(spark):
     ops = log_of(spark, [("a", "1"), ("b", "2"), ("a", "3"), ("c", "4")])
     both = ops.withColumn("store", F.lit("x")).union(ops.withColumn("store", F.lit("y")))
@@ -92,11 +168,16 @@ def test_run_files(spark, tmp_path):
     tiered = layout.with_tiers(laid, 3, 10**9, 1)
     spark.dataSource.register(runs.RunFiles)
     rows = layout.runs(tiered)
-    data = rows.select("gen", "key", state.encode_record(F.col("key"), F.col("value"), F.col("tombstone"), F.col("seq")).alias("data"))
+    data = rows.select("gen", F.col("key").cast("binary").alias("key"), state.encode_record(F.col("key"), F.col("value"), F.col("tombstone"), F.col("seq")).alias("data"))
     data.write.format("statelog_runs").mode("append").save(str(tmp_path / "level0"))
     back = runs.read_runs(spark, str(tmp_path / "level0"), strict=True)
-    assert sorted((r.key, r.tombstone, r.seq) for r in back.collect()) == sorted((r.key, r.tombstone, r.seq) for r in rows.collect())
-    assert {r.key: bytes(r.value) for r in runs.newest_run_get(back).collect()} == {"a": b"3", "d": b"4"}
+    assert sorted((r.key.decode(), r.tombstone, r.seq) for r in back.collect()) == sorted((r.key, r.tombstone, r.seq) for r in rows.collect())
+    # The open table's operations are in no run.
+    won = {}
+    for r in sorted(rows.collect(), key=lambda r: r.gen):
+        won[r.key] = None if r.tombstone else r.value.encode()
+    assert {r.key.decode(): bytes(r.value) for r in runs.newest_run_get(back).collect()} == {k: v for k, v in won.items() if v is not None}
+    assert not list((tmp_path / "level0").glob("*.part"))
     first = sorted((tmp_path / "level0").glob("*.data"))[-1]
     first.write_bytes(first.read_bytes()[:-1])
     assert runs.read_runs(spark, str(tmp_path / "level0")).count() == rows.count() - 1
