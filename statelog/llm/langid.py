@@ -22,6 +22,8 @@ from .textops import _stream, mix64, slices
 DIMENSIONS = 1024
 #: About so many learned texts of each language, chosen by the hash of their ids.
 SAMPLE = 4000
+#: Texts that a task works on at once, at most, each with a dense vector and counts.
+ROWS = 512
 #: Languages up to which their counts are broadcast; beyond, they are joined by shuffling.
 BROADCAST_LANGUAGES = 100_000
 
@@ -109,7 +111,7 @@ def _profiles(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 19, ROWS):
                 v, has = text_vectors([t or "" for t in part.column("text").to_pylist()], dim)
                 for i, lang in enumerate(part.column("lang").to_pylist()):
                     if has[i]:
@@ -146,7 +148,7 @@ def _predicted(shared, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 19, ROWS):
                 v, has = text_vectors([t or "" for t in part.column("text").to_pylist()], dim)
                 if langs:
                     cosine = v @ p.T

@@ -1,8 +1,8 @@
 """Quality by votes of the nearest labelled texts in a latent-semantic space.
 
-A text becomes counts of hashed trigrams of character classes, of word lengths
-and of words that repeat one just before; the shares of these features, square
-rooted and weighted by rarity, are projected to the leading singular vectors of
+A text becomes counts of hashed words, of hashed trigrams of character classes,
+of word lengths and of words that repeat one just before; the shares of these
+features, square rooted and weighted by rarity, are projected to the leading singular vectors of
 a bounded labelled sample. The labelled vectors, also bounded, are broadcast;
 every document's cosine with all of them is computed exactly, in blocks, and its
 NEIGHBOURS nearest vote with their similarity as weight.
@@ -28,7 +28,12 @@ NEIGHBOURS = 15
 GRAMS = 1024
 LENGTHS = 24
 REPEATS = 4
-WIDTH = GRAMS + LENGTHS + REPEATS
+WORDS = 512
+WIDTH = GRAMS + LENGTHS + REPEATS + WORDS
+#: What all words weigh against all trigrams.
+WORD_SHARE = 0.1
+#: Texts that a task works on at once, at most.
+ROWS = 4096
 
 
 def _classes() -> np.ndarray:
@@ -63,6 +68,8 @@ def feature_counts(column: pa.Array) -> np.ndarray:
     for back in range(1, REPEATS + 1):
         again = (w.hash[back:] == w.hash[:-back]) & (w.doc[back:] == w.doc[:-back])
         out[:, GRAMS + LENGTHS + back - 1] = np.bincount(w.doc[back:][again], minlength=docs)
+    word = (w.hash % np.uint64(WORDS)).astype(np.int64)
+    out[:, -WORDS:] = np.bincount(w.doc * WORDS + word, minlength=docs * WORDS).reshape(docs, WORDS)
     return out
 
 
@@ -76,9 +83,10 @@ class Model(NamedTuple):
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of the shares, the word features apart from the trigrams, times rarity."""
     x = counts.copy()
-    for a, b in ((0, GRAMS), (GRAMS, GRAMS + LENGTHS)):
-        x[:, a:b] /= np.maximum(x[:, a:b].sum(axis=1, keepdims=True), 1)
-    x[:, GRAMS + LENGTHS :] /= np.maximum(counts[:, GRAMS : GRAMS + LENGTHS].sum(axis=1, keepdims=True), 1)
+    words = np.maximum(counts[:, GRAMS : GRAMS + LENGTHS].sum(axis=1, keepdims=True), 1)
+    x[:, :GRAMS] /= np.maximum(counts[:, :GRAMS].sum(axis=1, keepdims=True), 1)
+    x[:, GRAMS:] /= words
+    x[:, -WORDS:] *= WORD_SHARE
     return np.sqrt(x) * idf
 
 
@@ -88,7 +96,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _binary_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", rows=ROWS):
             rows = [r.tobytes() for r in feature_counts(part.column("text")).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column("label").cast(pa.int32())], ["counts", "label"])
 
@@ -116,7 +124,7 @@ def votes(column: pa.Array, m: Model, neighbours: int = NEIGHBOURS) -> np.ndarra
     for a in range(0, len(v), 256):
         s = v[a : a + 256] @ m.voters.T
         at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(s, at, axis=1).astype(np.float64), 1e-6) ** 2
+        w = np.maximum(np.take_along_axis(s, at, axis=1).astype(np.float64), 1e-6)
         out[a : a + 256] = (w * m.labels[at]).sum(axis=1) / w.sum(axis=1)
     return np.clip(out, 0.0, 1.0)
 
@@ -125,7 +133,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", rows=ROWS):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(votes(part.column("text"), m))], ["doc_id", "score"])
 
     return run
@@ -151,7 +159,7 @@ def _kept(shared, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", rows=ROWS):
                 yield part.filter(pa.array(votes(part.column("text"), m) >= cut))
 
     return run

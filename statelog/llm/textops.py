@@ -170,11 +170,11 @@ def hash_ngrams(words: Words, n: int, short: bool = True) -> tuple[np.ndarray, n
     return grams, owner, at
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with at most about ``limit`` bytes of text each."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most about ``limit`` bytes of text and ``rows`` rows each."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to

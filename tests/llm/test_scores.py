@@ -142,6 +142,95 @@ def test_languages(spark, data):
     assert np.mean([rows[d].lang_pred == true[d] for d in held]) > 0.97
 
 
+def test_language_brute_force(spark, data):
+    """Every prediction against bundles that are added up trigram by trigram."""
+    import zlib
+
+    dim = langid.DIMENSIONS
+
+    def vector(text):
+        letters = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        runs = "".join(c if c.isalpha() else "\0" for c in letters)
+        line = re.sub("\0+", "\0", f"\0{runs}\0")
+        grams = {}
+        for i in range(len(line) - 2):
+            grams[line[i : i + 3]] = grams.get(line[i : i + 3], 0) + 1
+        out = np.zeros(dim)
+        for g, n in grams.items():
+            x, y, z = langid._letter_vectors(np.array([ord(c) for c in g]), dim).astype(float)
+            out += n * np.roll(x, 2) * np.roll(y, 1) * z
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    vectors = {i: vector(r.text or "") for i, r in docs.items()}
+    sums = {}
+    for i, r in docs.items():
+        if r.lang is not None and r.text is not None and any(c.isalpha() for c in r.text) and zlib.crc32(str(i).encode()) % 5:
+            sums[r.lang] = sums.get(r.lang, 0.0) + vectors[i]
+    names = sorted(sums)
+    protos = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    for r in catalog.QUERIES["op6_language_id"](spark, data).collect():
+        cosine = protos @ vectors[r.doc_id]
+        has = any(c.isalpha() for c in docs[r.doc_id].text or "")
+        assert r.lang_pred == (names[int(cosine.argmax())] if has else "und")
+        assert abs(r.score - (max(cosine.max(), 0) if has else 0)) < 1e-4
+
+
+def test_quality_brute_force(spark, data):
+    """Every score against features counted one by one and a full sort of all cosines."""
+    import zlib
+
+    from statelog.llm.textops import hash_words, text_bytes
+
+    def features(text):
+        import pyarrow as pa
+
+        raw, out = text.encode(), np.zeros(quality.WIDTH)
+        c = [int(quality._CLASS[b]) for b in raw]
+        for x, y, z in zip(c, c[1:], c[2:]):
+            out[quality._SLOT[(x * quality._N + y) * quality._N + z]] += 1
+        hashes = hash_words(*text_bytes(pa.array([text]))).hash.tolist()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        assert len(words) == len(hashes)
+        for i, (w, h) in enumerate(zip(words, hashes)):
+            out[quality.GRAMS + min(len(w), quality.LENGTHS) - 1] += 1
+            for back in range(1, quality.REPEATS + 1):
+                if i >= back and words[i - back].lower() == w.lower():
+                    out[quality.GRAMS + quality.LENGTHS + back - 1] += 1
+            out[quality.WIDTH - quality.WORDS + h % quality.WORDS] += 1
+        return out
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    counts = {i: features(t) for i, t in docs.items()}
+    learned = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in docs]
+    a = np.array([counts[i] for i in learned])
+    idf = np.log((len(a) + 1) / ((a > 0).sum(axis=0) + 1)) + 0.5
+
+    def unit(x):
+        return x / max(np.linalg.norm(x), 1e-12)
+
+    def weighted(x):
+        g, n = quality.GRAMS, max(x[quality.GRAMS : quality.GRAMS + quality.LENGTHS].sum(), 1)
+        parts = [x[:g] / max(x[:g].sum(), 1), x[g : -quality.WORDS] / n, quality.WORD_SHARE * x[-quality.WORDS :] / n]
+        return unit(np.sqrt(np.concatenate(parts)) * idf)
+
+    rows = np.array([weighted(x) for x in a])
+    axes = np.linalg.svd(rows, full_matrices=False)[2][: quality.RANK].T
+    voters, marks = np.array([unit(r @ axes) for r in rows]), np.array([labels[i] for i in learned], float)
+    off = 0
+    for r in catalog.QUERIES["op4_quality_classifier"](spark, data).collect():
+        cosine = voters @ unit(weighted(counts[r.doc_id]) @ axes)
+        near = np.argsort(-cosine, kind="stable")[: quality.NEIGHBOURS]
+        w = np.maximum(cosine[near], 1e-6)
+        score = (w * marks[near]).sum() / w.sum()
+        # Voters at one distance may be taken in either order.
+        tied = np.isclose(np.sort(-cosine)[quality.NEIGHBOURS - 1], np.sort(-cosine)[quality.NEIGHBOURS], atol=1e-5)
+        off += not tied and abs(r.score - score) > 1e-3
+        assert abs(r.score - score) < 0.1
+    assert off == 0
+
+
 def test_bound_trigrams():
     one, _ = langid.text_vectors(["abc"], 256)
     base = langid._letter_vectors(np.array([0, ord("a"), ord("b"), ord("c")]), 256).astype(int)
@@ -327,8 +416,10 @@ def test_token_lengths(spark, data, odd, none):
     for r in tokens.token_lengths(docs).collect():
         assert own.decode(own.encode_ordinary(texts[r.doc_id])) == texts[r.doc_id]
         assert r.n_tokens == len(own.encode_ordinary(texts[r.doc_id]))
-    got = {r.doc_id: r.n_tokens for r in tokens.token_lengths(odd.filter("doc_id <> 9")).collect()}
-    assert got[3] == got[4] == 0 < got[8]
+    rows = tokens.token_lengths(odd).collect()
+    got = {r.doc_id: r.n_tokens for r in rows}
+    assert len(rows) == odd.count() and got[3] == got[4] == 0 < got[8] and got[9] == len(own.encode_ordinary("x" * 300_000))
+    assert sorted(r.n_tokens for r in rows if r.doc_id is None) == [0, got[1]]
     assert tokens.length_histogram(none).count() == 0
 
 

@@ -180,3 +180,12 @@ def test_odd_items(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in got} >= {(1, None), (2, None), (None, None)}
     assert contaminated(none, bench).count() == 0 == contaminated(odd, bench.limit(0)).count()
     assert contaminated(odd.withColumn("text", F.lit(None).cast("string")), bench).count() == 0
+
+
+def test_repeated_benchmark_items(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item), (3, None), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"so {item} it was"), (8, "nothing of it here at all")], "doc_id long, text string")
+    got = contaminated(docs, bench).collect()
+    assert {r.doc_id for r in got} == {7} and {r.item_id for r in got} == {1, 2, None}
+    assert all(r.score == 1.0 for r in got)
