@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statelog.functions import commands as c
 
 
+def read_script(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of a script file, from 0."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).select(F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def write_output(printed: DataFrame, path: str) -> None:
+    """What a session prints as text files, whose lines are in order over their names."""
+    printed.repartitionByRange("line_no").sortWithinPartitions("line_no").select("output").write.text(path)
+
+
 def session(lines: DataFrame) -> DataFrame:
     """(line_no, output) for each line of ``lines`` (line_no, line) that prints something, up to EXIT or QUIT.
 

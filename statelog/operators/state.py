@@ -26,12 +26,16 @@ def expiry(now: Column, ttl_ns: Column) -> Column:
     return F.coalesce(F.floor((now + F.floor(ttl_ns / 1000)) / 1_000_000), F.lit(0)).cast("long")
 
 
-def appended(ops: DataFrame, more: DataFrame, order: str) -> DataFrame:
-    """``ops`` and operations ``more`` (key, value, tombstone, expires_at) after them, numbered on in an order."""
+def following(ops: DataFrame, more: DataFrame, order: str) -> DataFrame:
+    """Operations ``more`` (key, value, tombstone, expires_at), numbered on from those of ``ops`` in an order."""
     last = ops.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     rows = numbered(more, "append", order).crossJoin(F.broadcast(last))  # one row
-    new = rows.withColumn("seq", F.col("last") + F.col("place") + 1).drop("last", "place", order)
-    return ops.unionByName(new.select("key", "value", "tombstone", "seq", "expires_at"), allowMissingColumns=True)
+    return rows.select("key", "value", "tombstone", (F.col("last") + F.col("place") + 1).alias("seq"), "expires_at")
+
+
+def appended(ops: DataFrame, more: DataFrame, order: str) -> DataFrame:
+    """``ops`` and those that follow them."""
+    return ops.unionByName(following(ops, more, order), allowMissingColumns=True)
 
 
 def deletes(rows: DataFrame, key: Column, seq: Column) -> DataFrame:

@@ -223,3 +223,36 @@ def test_cache(spark, seed):
             used -= held.popitem(last=False)[1]
     got = blocks.cache_trace(spark.createDataFrame(acc, "path string, block_num long, size long, seq long"), 32).orderBy("seq").collect()
     assert [r.hit for r in got] == want
+
+
+def test_script_files(spark, tmp_path):
+    from statelog.operators.session import read_script, write_output
+
+    (tmp_path / "script").write_text("PUT(a,1)\n\nGET(a)\r\nDELETE(a)\nGET(a)\nEXIT\nGET(a)\n")
+    write_output(session(read_script(spark, str(tmp_path / "script"))), str(tmp_path / "out"))
+    lines = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == ["OK", "1", "OK", "(nil)"]
+
+
+def test_store(spark, tmp_path):
+    from statelog.store import Store
+
+    folder = str(tmp_path / "store")
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "config.json").write_text('{"memtable_max_entries": 2, "memtable_max_bytes": 100000, "memtable_instances": 1}')
+    store = Store(spark, folder)
+    assert store.settings["memtable_max_entries"] == 2 and store.log.count() == 0 == store.recovered().count()
+    rows = spark.createDataFrame([(1, "a", "1"), (2, "b", "2"), (3, "a", "3"), (4, "c", "4")], "i int, key string, value string")
+    store.put(rows, "i", F.lit(10_900_000), F.lit(1_500_000_000))
+    store.delete(rows.filter("i = 2"), "i")
+    assert [(r.seq, r.expires_at) for r in store.log.orderBy("seq").collect()] == [(1, 12), (2, 12), (3, 12), (4, 12), (5, 0)]
+    assert [tuple(r) for r in store.get("a").select("key", "value").collect()] == [("a", "3")] and store.get("b").count() == 0
+    store.flush()
+    store.flush()
+    again = Store(spark, folder)
+    assert {r.key.decode(): bytes(r.value) for r in again.recovered().collect()} == {"a": b"3", "b": b"2", "c": b"4"}
+    assert again.runs().count() == 4
+    blocks_ = spark.createDataFrame([("f", 0, b"x" * 8)], "path string, block_num long, data binary")
+    assert store.cached(blocks_).storageLevel.useMemory
+    blocks_.unpersist()
+    assert Store(spark, folder, {"multi_file_sstable": False, "memtable_max_entries": 2, "memtable_max_bytes": 100000}).tiered().filter("tier = 'SST'").count() == 0
