@@ -25,23 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by shingles of four words; no words, no links."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; a quarter of the ids is never learned from."""
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, cut=0.3)
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a test item, with the item and where."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; a third of the ids is never learned from."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, cut=0.5)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts and a digest of the base kinds, and all spans."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
@@ -50,23 +55,28 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; a fifth of the ids is never learned from."""
     return language(table(spark, sf_dir, "documents"), folds=5, held=0)
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and its source's target."""
     return mixed_words(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return main_texts(table(spark, sf_dir, "pages"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths, with sums over all longer documents."""
     # Written, since the sums read it twice and each reading would encode all texts again.
     return suffix_sums(Stage(spark, "tokens").write(length_histogram(table(spark, sf_dir, "documents"))))
 
 
 def op10_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest other rows of every row whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
