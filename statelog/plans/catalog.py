@@ -60,11 +60,13 @@ _WON = f"(SELECT key, arg_max({{'value': value, 'tomb': tomb, 'seq': seq}}, seq)
 
 @query(f"SELECT key, w.value AS value, w.seq AS seq FROM {_WON} WHERE NOT w.tomb")
 def kv_latest_state(spark, sf_dir):
+    """Live keys with their newest value."""
     return state.latest(event_log(spark, sf_dir))
 
 
 @query(f"SELECT key, w.value AS value, w.seq AS seq FROM {_WON} WHERE NOT w.tomb AND key = 'u7'")
 def kv_point_get(spark, sf_dir):
+    """One key."""
     return state.get(event_log(spark, sf_dir), "u7")
 
 
@@ -73,6 +75,7 @@ _ASKED = "(SELECT 'u' || i AS key FROM range(0, 40) t(i) UNION ALL SELECT 'missi
 
 @query(f"SELECT a.key, coalesce(NOT s.w.tomb, false) AS found, CASE WHEN NOT s.w.tomb THEN s.w.value END AS value FROM {_ASKED} a LEFT JOIN {_WON} s ON a.key = s.key")
 def kv_multi_get(spark, sf_dir):
+    """A list of keys, missing ones included."""
     asked = spark.range(40).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("key")).union(spark.createDataFrame([("missing",)], "key string"))
     return state.multi_get(event_log(spark, sf_dir), asked)
 
@@ -83,17 +86,20 @@ SELECT g.seq, g.key, coalesce(NOT p.tomb, false) AS found, CASE WHEN NOT p.tomb
 FROM g ASOF LEFT JOIN p ON g.key = p.key AND g.seq > p.seq"""
 )
 def kv_get_asof(spark, sf_dir):
+    """What each get of the log saw."""
     log = event_log(spark, sf_dir)
     return state.get_as_of(log.filter("kind <> 'click'"), log.filter("kind = 'click'"))
 
 
 @query(f"SELECT key, w.seq AS seq FROM {_WON} WHERE w.tomb")
 def kv_tombstones(spark, sf_dir):
+    """Keys whose newest operation is a delete."""
     return state.tombstones(event_log(spark, sf_dir))
 
 
 @query(f"SELECT row_number() OVER (ORDER BY key) AS pos, key, w.value AS value FROM {_WON} WHERE NOT w.tomb")
 def kv_ordered_scan(spark, sf_dir):
+    """Live keys with their place in byte order."""
     return state.ordered_scan(event_log(spark, sf_dir))
 
 
@@ -102,6 +108,7 @@ _SIZE = "(octet_length(encode(key)) + CASE WHEN tomb THEN 0 ELSE coalesce(octet_
 
 @query(f"SELECT kind, count(*) AS n_ops, sum({_SIZE})::BIGINT AS bytes, max({_SIZE}) AS largest FROM ({_OPS}) GROUP BY kind")
 def kv_record_size(spark, sf_dir):
+    """Bytes of records by kind of event."""
     log = event_log(spark, sf_dir)
     size = state.record_size(log)
     return log.groupBy("kind").agg(F.count("*").alias("n_ops"), F.sum(size).alias("bytes"), F.max(size).alias("largest"))
@@ -137,21 +144,25 @@ def _layout(spark, sf_dir, kind):
 
 @query(_laid(*WIDE[:2]) + " SELECT seq, gen FROM laid")
 def mem_generations(spark, sf_dir):
+    """The in-memory table that took each operation."""
     return _layout(spark, sf_dir, WIDE)[0].select("seq", "gen")
 
 
 @query(_laid(*SMALL[:2]) + " SELECT seq, gen FROM laid")
 def mem_generations_small(spark, sf_dir):
+    """The same with tables of three entries."""
     return _layout(spark, sf_dir, SMALL)[0].select("seq", "gen")
 
 
 @query(_laid(*WIDE[:2]) + ", k AS (SELECT gen, key, count(*) AS n, arg_max(sz, seq) AS z FROM laid GROUP BY 1, 2) SELECT gen, sum(n)::BIGINT AS n_ops, count(*) AS n_keys, sum(z)::BIGINT AS bytes FROM k GROUP BY gen")
 def mem_generation_stats(spark, sf_dir):
+    """Operations, keys and bytes of each table."""
     return layout.generation_stats(_layout(spark, sf_dir, WIDE)[0])
 
 
 @query(_tiered(*SMALL) + " SELECT gen, tier, count(*) AS n_ops FROM t GROUP BY 1, 2")
 def mem_tiers(spark, sf_dir):
+    """Where each table is by now."""
     return _layout(spark, sf_dir, SMALL)[1].groupBy("gen", "tier").agg(F.count("*").alias("n_ops"))
 
 
@@ -161,11 +172,13 @@ def mem_tiers(spark, sf_dir):
 SELECT gen, key, w.value AS value, w.tomb AS tombstone, w.seq AS seq FROM r"""
 )
 def flush_runs(spark, sf_dir):
+    """Records of all runs on disk."""
     return layout.runs(_layout(spark, sf_dir, WIDE)[1])
 
 
 @query(_tiered(*WIDE) + ", r AS (SELECT key, arg_max({'tomb': tomb, 'gen': gen, 'tier': tier}, seq) AS w FROM t GROUP BY 1) SELECT key, NOT w.tomb AS found, w.gen AS gen, w.tier AS tier FROM r")
 def layered_get(spark, sf_dir):
+    """Which layer answers for each key."""
     return layout.layered_get(_layout(spark, sf_dir, WIDE)[1])
 
 
@@ -175,6 +188,7 @@ def layered_get(spark, sf_dir):
 SELECT key, w.value AS value, w.seq AS seq FROM r WHERE NOT w.tomb"""
 )
 def recovery_state(spark, sf_dir):
+    """The state that the runs alone give."""
     return layout.recovered(_layout(spark, sf_dir, WIDE)[1])
 
 
@@ -213,6 +227,7 @@ def layered_get_single_file(spark, sf_dir):
 
 @query(f"SELECT (seq - 1) // 1000 AS segment, count(*) AS n_ops, min(seq) AS first_seq, max(seq) AS last_seq FROM ({_OPS}) GROUP BY 1")
 def wal_segments(spark, sf_dir):
+    """The log in segments."""
     return layout.segments(event_log(spark, sf_dir))
 
 
@@ -229,6 +244,7 @@ ELSE {h(f'{v} % 128 + 128')} || {h(f'{v} // 128 % 128 + 128')} || {h(f'{v} // 16
 FROM (SELECT *, CASE WHEN tomb THEN '' ELSE coalesce(value, '') END AS v FROM ({_OPS}))"""
 )
 def sst_encode(spark, sf_dir):
+    """Each operation in the run format."""
     return state.encoded(event_log(spark, sf_dir)).select("seq", F.hex("data").alias("data"))
 
 
@@ -244,11 +260,13 @@ def _decoded(batches):
 
 @query(f"SELECT key, CASE WHEN NOT tomb THEN value END AS value, tomb AS tombstone, seq FROM ({_OPS})")
 def sst_roundtrip(spark, sf_dir):
+    """Operations decoded from the run format."""
     return state.encoded(event_log(spark, sf_dir)).select("data").mapInArrow(_decoded, "key string, value string, tombstone boolean, seq long")
 
 
 @query("SELECT e AS epsilon, d AS delta, ceil(exp(1) / e)::BIGINT AS m, ceil(ln(exp(1) / d))::BIGINT AS k FROM (VALUES (0.1::DOUBLE, 0.1::DOUBLE), (0.05, 0.05), (0.01, 0.01), (0.001, 0.01)) t(e, d)")
 def cms_params(spark, sf_dir):
+    """Shapes of counters."""
     rows = spark.createDataFrame([(0.1, 0.1), (0.05, 0.05), (0.01, 0.01), (0.001, 0.01)], "epsilon double, delta double")
     return rows.select("*", sketches.counter_columns(F.col("epsilon")).alias("m"), sketches.counter_rows(F.col("delta")).alias("k"))
 
@@ -258,6 +276,7 @@ def cms_params(spark, sf_dir):
 FROM (VALUES (100::BIGINT, 0.01::DOUBLE), (150, 0.01), (1000, 0.01), (1500, 0.01), (10000, 0.001)) t(n, p))"""
 )
 def bloom_params(spark, sf_dir):
+    """Shapes of filters."""
     rows = spark.createDataFrame([(100, 0.01), (150, 0.01), (1000, 0.01), (1500, 0.01), (10000, 0.001)], "n long, p double")
     rows = rows.withColumn("m", sketches.filter_bits(F.col("n"), F.col("p")))
     return rows.withColumn("k", sketches.filter_hashes(F.col("n"), F.col("m")))
@@ -283,6 +302,7 @@ def _counter(items):
 
 @query(f"SELECT * FROM {_SKETCH}")
 def cms_table(spark, sf_dir):
+    """Cells of a counter of all keys."""
     return _counter(_items(spark, sf_dir))
 
 
@@ -291,6 +311,7 @@ def cms_table(spark, sf_dir):
 JOIN (SELECT item, count(*) AS n FROM {_KEYS} GROUP BY 1) USING (item)"""
 )
 def cms_estimate(spark, sf_dir):
+    """Estimates of all keys against their counts."""
     items = _items(spark, sf_dir)
     exact = items.groupBy("item").agg(F.count("*").alias("exact"))
     return sketches.estimate(_counter(items), items, "item", *CMS, BASE).join(exact, "item").withColumn("covers", F.col("est") >= F.col("exact"))
@@ -298,6 +319,7 @@ def cms_estimate(spark, sf_dir):
 
 @query(f"SELECT * FROM {_SKETCH}")
 def cms_merge(spark, sf_dir):
+    """Two halves of the log, merged."""
     items = _items(spark, sf_dir)
     halves = [_counter(items.filter(F.col("seq") % 2 == i)) for i in (0, 1)]
     return sketches.merge_counters(*[(h, *CMS, BASE) for h in halves])
@@ -309,12 +331,14 @@ FROM (SELECT r::INTEGER AS r, i FROM range({CMS[1]}) a(r), range({CMS[0]}) b(i))
 
 @query(f"SELECT md5(h) AS digest, (length(h) // 2)::INTEGER AS bytes FROM ({_CMS_HEX})")
 def cms_serialize(spark, sf_dir):
+    """Digest of a counter's bytes."""
     data = sketches.serialize_counter(_counter(_items(spark, sf_dir)), *CMS)
     return data.select(F.md5(F.hex("data").cast("binary")).alias("digest"), F.octet_length("data").alias("bytes"))
 
 
 @query(f"SELECT * FROM {_SKETCH}")
 def cms_roundtrip(spark, sf_dir):
+    """Cells from a counter's bytes."""
     return sketches.deserialize_counter(sketches.serialize_counter(_counter(_items(spark, sf_dir)), *CMS))
 
 
@@ -334,6 +358,7 @@ def _bits(items):
 
 @query(f"SELECT bit FROM {_SET}")
 def bloom_bits(spark, sf_dir):
+    """Bits of a filter of all customers."""
     return _bits(_customers(spark, sf_dir))
 
 
@@ -342,11 +367,13 @@ _PROBE = f"(SELECT item, bool_and(s.bit IS NOT NULL) AS maybe FROM (SELECT c_nam
 
 @query(f"SELECT item, maybe FROM {_PROBE}")
 def bloom_probe(spark, sf_dir):
+    """All customers asked of a filter of a third of them."""
     return sketches.might_contain(_bits(_customers(spark, sf_dir, True)), _customers(spark, sf_dir), "item", *BLOOM, BASE)
 
 
 @query(f"SELECT count(*) AS absent, count(*) FILTER (WHERE maybe) AS false_hits FROM {_PROBE} p JOIN (SELECT c_name FROM customer WHERE c_custkey % 3 <> 0) c ON p.item = c.c_name")
 def bloom_fp_rate(spark, sf_dir):
+    """Absent customers that the filter takes for present."""
     absent = _customers(spark, sf_dir).filter("c_custkey % 3 <> 0")
     probed = sketches.might_contain(_bits(_customers(spark, sf_dir, True)), absent, "item", *BLOOM, BASE)
     return probed.agg(F.count("*").alias("absent"), F.count_if("maybe").alias("false_hits"))
@@ -358,22 +385,26 @@ FROM range({-(-BLOOM[0] // 8)}) d(y) LEFT JOIN (SELECT bit // 8 AS z, bit_or((1
 
 @query(f"SELECT md5(h) AS digest, (length(h) // 2)::INTEGER AS bytes FROM ({_BLOOM_HEX})")
 def bloom_serialize(spark, sf_dir):
+    """Digest of a filter's bytes."""
     data = sketches.serialize_bloom(_bits(_customers(spark, sf_dir)), *BLOOM, BASE)
     return data.select(F.md5(F.hex("data").cast("binary")).alias("digest"), F.octet_length("data").alias("bytes"))
 
 
 @query(f"SELECT {BLOOM[0]}::BIGINT AS m, {BLOOM[1]}::BIGINT AS k, {BASE}::BIGINT AS base, bit FROM {_SET}")
 def bloom_roundtrip(spark, sf_dir):
+    """Bits from a filter's bytes."""
     return sketches.deserialize_bloom(sketches.serialize_bloom(_bits(_customers(spark, sf_dir)), *BLOOM, BASE))
 
 
 @query(f"SELECT bit FROM {_SET}")
 def lsm_bloom_replay(spark, sf_dir):
+    """Bits from a log of added items."""
     return sketches.replay_deltas(_customers(spark, sf_dir), "item", *sketches.read_meta(sketches.meta_bytes(*BLOOM, BASE)))
 
 
 @query(f"SELECT bit FROM {_SET}")
 def lsm_bloom_merge(spark, sf_dir):
+    """Two halves of the customers, merged."""
     rows = _customers(spark, sf_dir)
     return sketches.merge_blooms(*[(_bits(rows.filter(F.col("c_custkey") % 2 == i)), *BLOOM, BASE) for i in (0, 1)])
 
@@ -388,22 +419,26 @@ _BLOCKS = f"(SELECT path, n AS block_num, rpad(substr(h, (2 * {BLOCK} * n + 1)::
 
 @query(f"SELECT path, block_num, md5(h) AS digest FROM {_BLOCKS}")
 def block_split(spark, sf_dir):
+    """Digests of all texts' blocks."""
     return blocks.split(_files(spark, sf_dir), BLOCK).select("path", "block_num", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT path, md5(string_agg(h, '' ORDER BY block_num)) AS digest FROM {_BLOCKS} GROUP BY path")
 def block_join(spark, sf_dir):
+    """Digests of texts put together from blocks."""
     return blocks.join(blocks.split(_files(spark, sf_dir), BLOCK)).select("path", F.md5(F.hex("content").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT path, substr(h, 33, 64) AS data FROM {_HEX} WHERE length(h) >= 96")
 def block_read_at(spark, sf_dir):
+    """Bytes 16 to 47 of every longer text."""
     rows = _files(spark, sf_dir).filter(F.octet_length("content") >= 48)
     return rows.select("path", F.hex(blocks.read_at(F.col("content"), 16, 32)).alias("data"))
 
 
 @query(f"SELECT p AS path, row_number() OVER (PARTITION BY p ORDER BY path, block_num) - 1 AS block_num, md5(h) AS digest FROM (SELECT path % 10 AS p, * FROM {_BLOCKS})")
 def block_append(spark, sf_dir):
+    """Blocks of all texts appended to ten files."""
     cut = blocks.split(_files(spark, sf_dir), BLOCK)
     added = cut.select((F.col("path") % 10).alias("path"), F.struct("path", "block_num").alias("ord"), "data")
     none = spark.createDataFrame([], "path long, block_num long, data binary")
@@ -417,6 +452,7 @@ SELECT e.path, t.n AS block_num, CASE WHEN v IS NULL THEN '0000000000000000' ELS
 FROM e, range(23) t(n) LEFT JOIN w ON w.path = e.path AND w.n = t.n WHERE t.n <= e.last"""
 )
 def block_upsert(spark, sf_dir):
+    """Fifty files of blocks after all writes."""
     rows = table(spark, sf_dir, "orders")
     data = F.unhex(F.lpad(F.hex("o_orderkey"), 16, "0"))
     writes = rows.select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") % 23).alias("block_num"), data.alias("data"), F.col("o_orderkey").alias("seq"))
@@ -439,6 +475,7 @@ def lru_trace(spark, sf_dir):
 
 @query(f"SELECT seq, key, CASE WHEN NOT tomb THEN value END AS value, CASE WHEN tomb THEN 'DELETE' ELSE 'PUT' END AS cmd FROM ({_OPS})")
 def cli_parse(spark, sf_dir):
+    """Commands made of the log, parsed."""
     log = event_log(spark, sf_dir)
     quoted = F.concat(F.lit('"'), F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     line = F.when(F.col("tombstone"), F.concat(F.lit("delete( "), "key", F.lit(" )"))).otherwise(F.concat(F.lit(" put("), "key", F.lit(", "), quoted, F.lit(") ")))
@@ -452,6 +489,7 @@ SELECT g.seq AS line_no, CASE WHEN NOT p.tomb THEN p.seq::VARCHAR ELSE '(nil)' E
 UNION ALL SELECT seq, 'OK' FROM p UNION ALL SELECT 0, 'unknown command' UNION ALL SELECT -1, 'parse error: expected format CMD(arg1,arg2,...)'"""
 )
 def cli_session(spark, sf_dir):
+    """What a session of these commands prints."""
     log = event_log(spark, sf_dir)
     said = F.when(F.col("kind") == "click", F.concat(F.lit("GET("), "key", F.lit(")"))).when(F.col("tombstone"), F.concat(F.lit("DELETE("), "key", F.lit(")")))
     lines = log.select(F.col("seq").alias("line_no"), said.otherwise(F.concat(F.lit("PUT("), "key", F.lit(","), F.col("seq").cast("string"), F.lit(",1h)"))).alias("line"))
@@ -464,11 +502,13 @@ _TTLS = {"10s": 10**10, "5m": 3 * 10**11, "2h": 72 * 10**11, "1h30m": 54 * 10**1
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if n is None else n}::BIGINT)" for t, n in _TTLS.items()) + ") t(ttl, ns)")
 def ttl_parse(spark, sf_dir):
+    """Durations."""
     return spark.createDataFrame([(t,) for t in _TTLS], "ttl string").select("ttl", commands.duration_ns(F.col("ttl")).alias("ns"))
 
 
 @query(f"SELECT key, w.value AS value, w.seq AS seq, w.seq % 1000 + 1 AS expires_at FROM {_WON} WHERE NOT w.tomb AND w.seq % 2 = 0 AND w.seq % 1000 + 1 <= 500")
 def ttl_expired_view(spark, sf_dir):
+    """Keys whose time to live has run out."""
     log = event_log(spark, sf_dir).withColumn("expires_at", F.when((F.col("seq") % 2 == 0) & ~F.col("tombstone"), F.col("seq") % 1000 + 1).otherwise(0))
     return state.expired(log, 500)
 
@@ -485,12 +525,14 @@ CASE WHEN me > 0 THEN me ELSE 1000 END AS memtable_max_entries FROM (VALUES """
     + ") t(i, bs, mt, bd, mi, cs, me)"
 )
 def config_normalize(spark, sf_dir):
+    """Settings with defaults for what is out of range."""
     kinds = "i long, " + ", ".join(f"{n} {'string' if n == 'memtable_type' else 'long'}" for n in _NAMES)
     return config.normalize(spark.createDataFrame([(i, *r) for i, r in enumerate(_SETTINGS)], kinds))
 
 
 @query(f"SELECT key, w.value AS value, w.tomb AS tombstone, w.seq AS seq FROM {_WON}")
 def stream_latest_state(spark, sf_dir):
+    """The state of the log as a stream."""
     stored = table(spark, sf_dir, "events")
     events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     ops = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"), (F.col("event_type") == "error").alias("tombstone"), (F.col("event_id") + 1).alias("seq"))
