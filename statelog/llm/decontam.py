@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import Stage
@@ -168,20 +169,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     spark = docs.sparkSession
     stage = Stage(spark, "decontamination")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    out = None
+    for known, items in _shared_parts(spark, benchmark):
+        hits = stage.write(rows.mapInArrow(_hits(known), "doc_id long, text string, grams array<long>, at array<long>"), "hits")
+        found = hits.mapInArrow(_aligned(items, least, least_words), "doc_id long, item_id long, score double, matched long, first_word long, end_word long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _shared_parts(spark: SparkSession, benchmark: DataFrame) -> Iterator[tuple[Broadcast, Broadcast]]:
+    """For each part of the items: the hashes of its grams, and what its alignments need."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
-    out = None
     for p in range(parts):
         few = sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id) for r in items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == p).collect())
         texts = [t for _, t, _ in few]
         grams, owner, _ = item_grams(texts)
-        known = np.unique(grams)
-        hits = stage.write(rows.mapInArrow(_hits(spark.sparkContext.broadcast(known)), "doc_id long, text string, grams array<long>, at array<long>"), "hits")
         w, first = _words(texts)
         order = np.argsort(grams, kind="stable")
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-        shared = spark.sparkContext.broadcast(([i for _, _, i in few], w.hash, first, grams[order], owner[order], grams, bounds))
-        found = hits.mapInArrow(_aligned(shared, least, least_words), "doc_id long, item_id long, score double, matched long, first_word long, end_word long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast(np.unique(grams)), spark.sparkContext.broadcast(([i for _, _, i in few], w.hash, first, grams[order], owner[order], grams, bounds))
+
+
+def _cleaned(known: Broadcast, items: Broadcast, least: float, least_words: int, column: str):
+    """The rows, less ``column``, whose text there holds no item."""
+    hits, aligned = _hits(known), _aligned(items, least, least_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column):
+                numbers = pa.array(np.arange(part.num_rows))
+                found = aligned(hits([pa.RecordBatch.from_arrays([numbers, part.column(column)], ["doc_id", "text"])]))
+                keep = np.ones(part.num_rows, bool)
+                for got in found:
+                    keep[got.column("doc_id").to_numpy()] = False
+                yield part.drop_columns([column]).filter(pa.array(keep))
+
+    return run
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` doesn't name, all columns unchanged, whatever their ids.
+
+    One scan for each part of the items, no shuffle.
+    """
+    column = "lower"
+    while column in docs.columns:
+        column += "_"
+    schema = docs.schema
+    for known, items in _shared_parts(docs.sparkSession, benchmark):
+        docs = docs.withColumn(column, F.lower(F.col("text").cast("string"))).mapInArrow(_cleaned(known, items, least, least_words, column), schema)
+    return docs

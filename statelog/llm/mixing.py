@@ -254,7 +254,8 @@ class Mix:
         packed = pieces.groupBy("src", "source", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "w"))).alias("p"))
         ids = F.array_compact(F.transform("p", lambda x: x["doc_id"]))
         packed = packed.select("src", "source", "block", ids.alias("doc_ids"), F.array_join(F.transform("p", lambda x: x["w"]), " ").alias("text"))
-        return self.slots.join(packed, ["src", "block"]).select("shard", "slot", "source", "block", "doc_ids", "text")
+        # Slots compress so well that their shuffle looks small enough to broadcast; it grows with the mix.
+        return self.slots.hint("shuffle_merge").join(packed, ["src", "block"]).select("shard", "slot", "source", "block", "doc_ids", "text")
 
 
 _WORD = re.compile(WORD)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statelog.llm import decontam, minhash, textops
-from statelog.llm.decontam import contaminated
+from statelog.llm.decontam import contaminated, uncontaminated
 from statelog.llm.minhash import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,3 +189,14 @@ def test_repeated_benchmark_items(spark):
     got = contaminated(docs, bench).collect()
     assert {r.doc_id for r in got} == {7} and {r.item_id for r in got} == {1, 2, None}
     assert all(r.score == 1.0 for r in got)
+    assert [r.doc_id for r in uncontaminated(docs, bench).collect()] == [8]
+
+
+def test_rows_without_items(spark, data, odd, none):
+    docs, bench = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "benchmark"))
+    named = {r.doc_id for r in contaminated(docs, bench).collect()}
+    left = uncontaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - named and named
+    odd = odd.withColumn("lower", F.lit(1))
+    assert sorted(map(repr, uncontaminated(odd, bench).collect())) == sorted(map(repr, odd.collect()))
+    assert uncontaminated(none, bench).count() == 0 and uncontaminated(odd, bench.limit(0)).count() == odd.count()
