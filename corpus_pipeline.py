@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelog.llm.decontam import contaminated
+from statelog.llm.decontam import uncontaminated
 from statelog.llm.minhash import near_duplicates
 from statelog.llm.mixing import mixed_blocks
 from statelog.llm.quality import keep_good
@@ -33,18 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, key = numbered(docs)
     found = near_duplicates(rows, id_col=key, words=5, threshold=(80, 100))
-    return _only(rows, key, found.filter("kept").select(F.col("doc_id").alias("at")), "left_semi")
+    kept = found.filter("kept").select(F.col("doc_id").alias("at"))
+    return rows.join(kept, rows[key] == kept["at"], "left_semi").drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no test item, also among rows with equal or null ids."""
-    rows, key = numbered(docs)
-    found = contaminated(rows, _table(spark, sf_dir, "benchmark"), id_col=key)
-    return _only(rows, key, found.select(F.col("doc_id").alias("at")).distinct(), "left_anti")
-
-
-def _only(rows: DataFrame, key: str, which: DataFrame, how: str) -> DataFrame:
-    return rows.join(which, rows[key] == which["at"], how).drop(key)
+    return uncontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
