@@ -24,7 +24,7 @@ from .textops import _stream, hash_words, slices, text_bytes
 #: Bound of the labelled rows that the space and the voters come from.
 SAMPLE = 4096
 RANK = 48
-NEIGHBOURS = 15
+NEIGHBOURS = 7
 GRAMS = 1024
 LENGTHS = 24
 REPEATS = 4
