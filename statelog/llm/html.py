@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,11 @@ CONSTANT = 0.9
 #: A template of more nodes is rid of those that less than this share of its pages have.
 MOST_NODES = 5000
 RARE = 0.01
-#: Children are matched optimally up to this many pairs, and beyond in order by their labels.
+#: Children are matched optimally; so many pairs of them are held at once, and longer lists are worked through in so many parts.
 MOST_PAIRS = 200_000
+CUTS = 16
+#: Sizes of matches that are kept, others are worked out again.
+HELD_SIZES = 1_000_000
 #: Frequent texts kept per node: those of more than 1 / (TEXTS + 1) of its texts are surely among them.
 TEXTS = 64
 #: Templates are broadcast up to so many bytes in all, and joined to their pages beyond.
@@ -213,46 +217,150 @@ def folded(node: Node, blocks: list[tuple[str, Node]], places: dict[int, list[in
     return fold([node])
 
 
+class _Shapes:
+    """Trees numbered by their shape, and the sizes of the best matches of two."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.of: dict[int, int] = {}
+        self.labels: list[str] = []
+        self.children: list[list[int]] = []
+        self.nodes: list[int] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def number(self, t: list) -> int:
+        found = self.of.get(id(t))
+        if found is None:
+            children = [self.number(c) for c in t[4]]
+            found = self.numbers.setdefault((t[0], *children), len(self.labels))
+            if found == len(self.labels):
+                self.labels.append(t[0])
+                self.children.append(children)
+                self.nodes.append(1 + sum([self.nodes[c] for c in children]))
+            self.of[id(t)] = found
+        return found
+
+    def size(self, a: int, b: int) -> int:
+        """Nodes of the best match of two shapes."""
+        if a == b:
+            return self.nodes[a]
+        if self.labels[a] != self.labels[b]:
+            return 0
+        out = self.sizes.get((a, b))
+        if out is None:
+            x, y = self.children[a], self.children[b]
+            p, q = [self.labels[c] for c in x], [self.labels[c] for c in y]
+            if p == q:
+                out = 1 + sum([self.size(i, j) for i, j in zip(x, y, strict=True)])
+            else:
+                both = set(p) & set(q)
+                out = 1 + self.aligned([c for c, k in zip(x, p, strict=True) if k in both], [c for c, k in zip(y, q, strict=True) if k in both], None)
+            if len(self.sizes) >= HELD_SIZES:
+                self.sizes.clear()
+            self.sizes[a, b] = out
+        return out
+
+    def aligned(self, x: list[int], y: list[int], pairs: list[tuple[int, int]] | None) -> int:
+        """Size of the best order-keeping match of two lists of shapes; ``pairs`` gets its pairs in order.
+
+        Row i of a table has, for each j, the size of the best match of the first
+        i and the first j. The way back through it needs all rows: those at cuts
+        are kept, and those between two cuts worked out again.
+        """
+        # Equal shapes at the start: no other partners are better.
+        start, least = 0, min(len(x), len(y))
+        while start < least and x[start] == y[start]:
+            start += 1
+        same = sum([self.nodes[c] for c in x[:start]])
+        if pairs is not None:
+            pairs += [(i, i) for i in range(start)]
+        if start == least:
+            return same
+        x, y = x[start:], y[start:]
+        places: dict[str, tuple[list[int], dict[int, int], list[int]]] = {}
+        for j, c in enumerate(y):
+            at, kinds, which = places.setdefault(self.labels[c], ([], {}, []))
+            at.append(j)
+            which.append(kinds.setdefault(c, len(kinds)))
+        arrays = {k: (np.array(at), list(kinds), np.array(which)) for k, (at, kinds, which) in places.items()}
+        held: dict[int, np.ndarray] = {}
+
+        def below(row: np.ndarray, i: int) -> np.ndarray:
+            if self.labels[x[i]] not in arrays:
+                return row
+            at, kinds, which = arrays[self.labels[x[i]]]
+            sizes = held.get(x[i])
+            if sizes is None:
+                if len(held) * len(y) >= HELD_SIZES:
+                    held.clear()
+                sizes = held[x[i]] = np.array([self.size(x[i], c) for c in kinds], np.int32)
+            if len(at) and at[-1] + 1 >= len(row):
+                n = int(np.searchsorted(at, len(row) - 1))
+                at, which = at[:n], which[:n]
+            out = row.copy()
+            out[at + 1] = np.maximum(row[at + 1], row[at] + sizes[which])
+            return np.maximum.accumulate(out)
+
+        first = np.zeros(len(y) + 1, np.int32)
+        if pairs is None:
+            for i in range(len(x)):
+                first = below(first, i)
+            return same + int(first[-1])
+        back: list[tuple[int, int]] = []
+
+        def way(lo: int, hi: int, row: np.ndarray, j: int) -> int:
+            """Goes back from row ``hi`` and ``j`` to row ``lo``, which is given; the j there."""
+            row = row[: j + 1]
+            rows, n = [row], hi - lo
+            if n * (j + 1) <= MOST_PAIRS or n == 1:
+                for i in range(lo, hi):
+                    rows.append(below(rows[-1], i))
+                for i in range(hi, lo, -1):
+                    above, own = rows[i - 1 - lo], rows[i - lo]
+                    if own[j] != above[j]:
+                        j = int(np.searchsorted(own, own[j])) - 1
+                        back.append((start + i - 1, start + j))
+                return j
+            cuts = [lo + n * k // min(n, CUTS) for k in range(min(n, CUTS) + 1)]
+            for i in range(lo, cuts[-2]):
+                row = below(row, i)
+                if i + 1 == cuts[len(rows)]:
+                    rows.append(row)
+            for k in range(len(rows) - 1, -1, -1):
+                j = way(cuts[k], cuts[k + 1], rows.pop(), j)
+            return j
+
+        way(0, len(x), first, len(y))
+        pairs += back[::-1]
+        return same + sum([self.size(x[i - start], y[j - start]) for i, j in back])
+
+
+def paired(a: list, b: list, memo: dict) -> list[tuple[int, int]]:
+    """The pairs of the children of two trees of one label in their best order-keeping match.
+
+    Lists of the same labels are paired one by one. ``memo`` is of one pair of
+    trees, none of whose nodes may have changed that are still to be paired.
+    """
+    p, q = [c[0] for c in a[4]], [c[0] for c in b[4]]
+    if p == q:
+        return [(i, i) for i in range(len(p))]
+    both = set(p) & set(q)
+    if not both:
+        return []
+    shapes = memo.setdefault("shapes", _Shapes())
+    x, y = ([i for i, k in enumerate(labels) if k in both] for labels in (p, q))
+    pairs: list[tuple[int, int]] = []
+    shapes.aligned([shapes.number(a[4][i]) for i in x], [shapes.number(b[4][j]) for j in y], pairs)
+    return [(x[i], y[j]) for i, j in pairs]
+
+
 def match(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the best order-keeping match of two trees, and the children's pairs."""
     if a[0] != b[0]:
         return 0, []
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    x, y = a[4], b[4]
-    if [c[0] for c in x] == [c[0] for c in y]:
-        out = 1 + sum(match(p, q, memo)[0] for p, q in zip(x, y, strict=True)), [(i, i) for i in range(len(x))]
-    elif len(x) * len(y) > MOST_PAIRS:
-        places: dict[str, list[int]] = {}
-        for i in range(len(x) - 1, -1, -1):
-            places.setdefault(x[i][0], []).append(i)
-        pairs, last = [], -1
-        for j, q in enumerate(y):
-            left = places.get(q[0], [])
-            while left and left[-1] <= last:
-                left.pop()
-            if left:
-                last = left.pop()
-                pairs.append((last, j))
-        out = 1 + sum(match(x[i], y[j], memo)[0] for i, j in pairs), pairs
-    else:
-        w = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x):
-            for j, q in enumerate(y):
-                w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + match(p, q, memo)[0])
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            if w[i][j] == w[i - 1][j]:
-                i -= 1
-            elif w[i][j] == w[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-        out = 1 + w[-1][-1], pairs[::-1]
-    memo[key] = out
-    return out
+    shapes = memo.setdefault("shapes", _Shapes())
+    pairs = paired(a, b, memo)
+    return 1 + sum([shapes.size(shapes.number(a[4][i]), shapes.number(b[4][j])) for i, j in pairs]), pairs
 
 
 def _add_texts(into: dict[str, int], more: dict[str, int]) -> None:
@@ -270,7 +378,7 @@ def _add_texts(into: dict[str, int], more: dict[str, int]) -> None:
 def merge(a: list, b: list, memo: dict | None = None) -> None:
     """Adds tree or template ``b`` to template ``a``; what has no partner is put in at its place."""
     memo = {} if memo is None else memo
-    _, pairs = match(a, b, memo)
+    pairs = paired(a, b, memo)
     a[1] += b[1]
     a[2] += b[2]
     _add_texts(a[3], b[3])
@@ -432,7 +540,7 @@ class Wrapper:
 
         def walk(t: list, p: list) -> None:
             steady.update(i for i in places[id(p)] if t[3].get(_mark(blocks[i][0]), 0) >= self.need)
-            for i, j in match(t, p, memo)[1]:
+            for i, j in paired(t, p, memo):
                 walk(t[4][i], p[4][j])
 
         walk(self.template, tree)

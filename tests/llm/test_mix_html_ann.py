@@ -178,6 +178,23 @@ def test_bounded_templates(monkeypatch):
     assert html.match(one[4][0], two[4][0], {}) == (4, [(1, 0), (2, 1), (3, 3)])
 
 
+@pytest.mark.parametrize("n", [20, 300])
+def test_long_lists_are_matched_as_well_as_short_ones(n, monkeypatch):
+    """Four pages of n headings and lines, with a part that is first on some of them and last on others."""
+    lines = lambda i: "".join(f"<h2>Title {i} {k}</h2><p>Read on</p>" for k in range(n))
+    part = lambda i: f"<section>Part {i}</section>"
+    pages = [f"<body>{part(i) + lines(i) if i % 2 else lines(i) + part(i)}</body>" for i in range(4)]
+    trees = [html.folded(*html.parse(p)) for p in pages]
+    size, pairs = html.match(trees[0][4][0], trees[1][4][0], {})
+    assert (size, pairs) == (1 + 2 * n, [(k, k + 1) for k in range(2 * n)])
+    monkeypatch.setattr(html, "MOST_PAIRS", 3 * n)
+    assert html.match(trees[0][4][0], trees[1][4][0], {}) == (size, pairs)
+    for t in trees[1:]:
+        html.merged(trees[0], t)
+    texts = [html.extract(p, html.Wrapper(trees[0])).split("\n\n") for p in pages]
+    assert texts == [[f"Part {i}"] * (i % 2) + [f"Title {i} {k}" for k in range(n)] + [f"Part {i}"] * (1 - i % 2) for i in range(4)]
+
+
 def test_template_merge_counts():
     trees = [html.folded(*html.parse(f"<body><div class=a>x{i % 2}</div><p>{i}</p></body>")) for i in range(6)]
     for t in trees[1:]:
