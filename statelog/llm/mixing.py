@@ -251,7 +251,8 @@ class Mix:
         """
         kinds = "src int, source string, block long, start long, doc_id long, w string"
         pieces = self.packed.filter("size > 0").select("src", "source", "start", "doc_id", "text").mapInArrow(_pieces(self.block_words), kinds)
-        packed = pieces.groupBy("src", "source", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "w"))).alias("p"))
+        # Grouped by just the keys of the join, so that the text isn't dealt out once more for it.
+        packed = pieces.groupBy("src", "block").agg(F.max("source").alias("source"), F.sort_array(F.collect_list(F.struct("start", "doc_id", "w"))).alias("p"))
         ids = F.array_compact(F.transform("p", lambda x: x["doc_id"]))
         packed = packed.select("src", "source", "block", ids.alias("doc_ids"), F.array_join(F.transform("p", lambda x: x["w"]), " ").alias("text"))
         # Slots compress so well that their shuffle looks small enough to broadcast; it grows with the mix.

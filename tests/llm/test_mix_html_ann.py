@@ -81,6 +81,17 @@ def test_blocks_hold_the_taken_words(spark):
         assert all(w in words[int(w[1:].split("_")[0])] for w in b.text.split(" "))
 
 
+def test_block_texts_are_dealt_out_once(spark):
+    """One exchange of the pieces and one of the slots, by the keys of their join, and sources by name."""
+    docs = spark.createDataFrame([(i, f"one two three {i}", s) for i, s in enumerate(["b", None, "a"] * 30)], "doc_id long, text string, source string")
+    out = mixing.mixed_blocks(docs, shard_blocks=7, block_words=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*\bblock#", plan)) == 2
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows = out.collect()
+    assert {r.source for r in rows} == {"a", "b", None} and all(source[d] == r.source for r in rows for d in r.doc_ids)
+
+
 def test_odd_mix(odd, none):
     got = mixing.mixed_words(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in got)
